@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import ngram_join
+from graphloom.llm import ngram_join, pii_scan, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_secret_scan": op5_secret_scan,
+    "op8_pii_scan": op8_pii_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
