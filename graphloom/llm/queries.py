@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import ngram_join, pii_scan, secret_scan
+from graphloom.llm import ngram_join, pii_scan, secret_scan, source_mix, syncmers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(_table(spark, sf_dir, "documents"))
+
+
 def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -24,9 +32,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op5_secret_scan": op5_secret_scan,
+    "op6_source_mix": op6_source_mix,
     "op8_pii_scan": op8_pii_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_source_mix": source_mix.ORACLE_SQL,
+}
