@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.components import connected_components
 from graphloom.plans.shared import materialize
 
-#: side 0 pairs with anything but, where sides are used, 1 pairs with 2 only.
+#: Where sides are used, two entries of side 2 do not make a pair.
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("side", "u1")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 STAR, KEY, MEMBER = 0, 1, 2
@@ -45,19 +45,6 @@ def _spread(x: np.ndarray, n: int) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
 
 
-def _runs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct entries, and for each the index of its key's first."""
-    order = np.lexsort((entries["side"], entries["id"], entries["key"]))
-    e = entries[order]
-    if len(e):
-        same = (e["key"][1:] == e["key"][:-1]) & (e["id"][1:] == e["id"][:-1]) & (e["side"][1:] == e["side"][:-1])
-        e = e[np.concatenate(([True], ~same))]
-    head = np.ones(len(e), dtype=bool)
-    head[1:] = e["key"][1:] != e["key"][:-1]
-    first = np.maximum.accumulate(np.where(head, np.arange(len(e)), 0))
-    return e, first
-
-
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty(len(a), dtype=PAIR)
     out["a"], out["b"] = np.minimum(a, b), np.maximum(a, b)
@@ -66,26 +53,30 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def stars(entries: np.ndarray, sided: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Star pairs, members of shared keys, and the entries that stand for their keys."""
-    e, first = _runs(entries)
-    if not len(e):
-        return np.empty(0, dtype=PAIR), e, e
-    sizes = np.bincount(first, minlength=len(e))[first]
-    if not sided:
-        shared = sizes > 1
-        return _pairs(e["id"][shared], e["id"][first[shared]]), e[shared], e[first == np.arange(len(e))]
-    # Two stars for each key: the first of either side with all of the other.
-    ones = e["side"] == 1
+    if not len(entries):
+        return np.empty(0, dtype=PAIR), entries, entries
+    keys = np.ascontiguousarray(entries["key"])
+    order = np.argsort(keys)
+    keys = keys[order]
+    differs = keys[1:] != keys[:-1]
+    alone = np.concatenate(([True], differs)) & np.concatenate((differs, [True]))
+    single, e = entries[order[alone]], entries[order[~alone]]
+    e = e[np.lexsort((e["id"], e["side"], e["key"]))]
+    if len(e):
+        same = (e["key"][1:] == e["key"][:-1]) & (e["id"][1:] == e["id"][:-1]) & (e["side"][1:] == e["side"][:-1])
+        e = e[np.concatenate(([True], ~same))]
     at = np.arange(len(e))
-    big = len(e)
-    head1 = np.full(len(e), big)
-    np.minimum.at(head1, first[ones], at[ones])
-    head2 = np.full(len(e), big)
-    np.minimum.at(head2, first[~ones], at[~ones])
-    head1, head2 = head1[first], head2[first]
-    both = (head1 < big) & (head2 < big)
-    other = np.where(ones, head2, head1)
-    pairs = _pairs(e["id"][both], e["id"][other[both]])
-    return pairs, e[sizes > 1], e[(at == head1) | (at == head2)]
+    head = np.ones(len(e), dtype=bool)
+    head[1:] = e["key"][1:] != e["key"][:-1]
+    first = np.maximum.accumulate(np.where(head, at, 0))
+    shared = np.bincount(first, minlength=len(e))[first] > 1
+    if sided:  # side 1 comes first, so a key's first entry pairs with all of its others, or with none
+        linked = shared & (e["side"][first] == 1)
+        stands = head.copy()
+        stands[1:] |= e["side"][1:] != e["side"][:-1]
+    else:
+        linked, stands = shared, head
+    return _pairs(e["id"][linked], e["id"][first[linked]]), e[shared], np.concatenate((single, e[stands]))
 
 
 def _packed(kind: int, buckets: np.ndarray, values: np.ndarray):
@@ -179,7 +170,7 @@ def _tiles(keep: Callable, sided: bool) -> Callable:
         a, b = np.repeat(left, len(right)), np.tile(right, len(left))
         ok = (rows["comp"][a] != rows["comp"][b]) & ((rows["i"][a] != rows["j"][a]) | (a < b))
         if sided:
-            ok &= rows["side"][a] != rows["side"][b]
+            ok &= (rows["side"][a] == 1) | (rows["side"][b] == 1)
         return a[ok], b[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
