@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, line_dedup, ngram_join, pii_scan, secret_scan, source_mix, syncmers
+from graphloom.llm import decontaminate, line_dedup, ngram_join, pii_scan, secret_scan, source_mix, syncmers, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_source_mix": op6_source_mix,
+    "op7_toxicity": op7_toxicity,
     "op8_pii_scan": op8_pii_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
