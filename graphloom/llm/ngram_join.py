@@ -144,21 +144,11 @@ def _text_key():
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Near-duplicate classes of ``docs`` (doc_id, text).
-
-    Returns one row for each row of ``docs``: ``doc_id, n_shingles, component_id``, the
-    smallest doc_id reachable by links.  Null and empty texts, and texts of white space,
-    have no shingles and no links; copies of a text are linked if it has words.  A null
-    doc_id is never the smallest unless its class has no other; an isolated row's
-    component is its own doc_id.  Other columns of ``docs`` are not read.
-    """
+def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, class)``: the class of linked sets of each row, null without words."""
     docs = docs.select("doc_id", "text")
     table = materialize(shingle_table(docs, width), "shingles")
-    full = table.where("size > 0")
-    nodes = full.groupBy("id").agg(
-        F.first("size").alias("size"), F.first("mark").alias("mark"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("least_doc")
-    )
+    nodes = table.where("size > 0").groupBy("id").agg(F.first("size").alias("size"), F.first("mark").alias("mark"), F.min("text_key").alias("text_key"))
     nodes = materialize(nodes, "sets")
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -171,22 +161,45 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     rows = _linkage.keyed(docs.select("text"), keys_of)
     keep = _may_link(percent)
+    comps = _linkage.components(rows, nodes, lambda pairs: _linked(pairs, nodes, docs, keep, width, percent), keep)
+    light = table.select("doc_id", "text_key", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("id")).alias("id"))
+    return light.join(comps, light.id == comps.node, "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "id").alias("class"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return _linked(pairs, nodes, docs, keep, width, percent)
 
-    comps = _linkage.components(rows, nodes, verify, keep)
-    least = (
-        nodes.join(comps, nodes.id == comps.node, "left")
-        .select("id", F.coalesce("component", "id").alias("component"), "least_doc")
-    )
-    smallest = least.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-    named = least.join(smallest, "component").select(F.col("id").alias("set_id"), "component_id")
-    return (
-        table.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("id")).alias("set_id"))
-        .join(named, "set_id", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Near-duplicate classes of ``docs`` (doc_id, text).
+
+    Returns one row for each row of ``docs``: ``doc_id, n_shingles, component_id``, the
+    smallest doc_id reachable by links.  Null and empty texts, and texts of white space,
+    have no shingles and no links; copies of a text are linked if it has words.  A null
+    doc_id is never the smallest unless its class has no other; an isolated row's
+    component is its own doc_id.  Other columns of ``docs`` are not read.
+    """
+    classes = materialize(jaccard_classes(docs, width, percent), "classes")
+    least = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    named = classes.join(least, "class", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("class").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class, the one of the smallest doc_id, null last.
+
+    Rows without words all stay.
+    """
+    classes = materialize(jaccard_classes(docs, width, percent).where("class is not null"), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = classes.groupBy("class").agg(F.min(place).alias("first"))
+    rest = classes.join(first, "class").where(place != F.col("first")).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
+    rest = materialize(rest, "copies")
+    if rest.count() <= BROADCAST_KEYS:
+        rest = F.broadcast(rest)
+    out = docs.withColumn("_text_key", _text_key())
+    out = out.join(rest, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    repeated = classes.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        wordless = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+        out = out.where(wordless).unionByName(out.where(~wordless).dropDuplicates(["doc_id", "_text_key"]))
+    return out.select(*docs.columns)
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, keep, width: int, percent: int) -> DataFrame:
