@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from graphloom import queries_tables
+
+QUERIES: dict = {**queries_tables.QUERIES}
+ORACLE_SQL: dict[str, str] = {**queries_tables.ORACLE_SQL}
