@@ -10,11 +10,7 @@ STOPWORDS = (
     "the and for with what how does are from into that this which where when who why use used uses using show find list get all any can has have "
     "was were will would should could about between kg"
 ).split()
-FENCES = {
-    "golang": "go", "javascript": "javascript", "typescript": "typescript", "tsx": "tsx", "python": "python", "rust": "rust", "java": "java",
-    "kotlin": "kotlin", "csharp": "csharp", "php": "php", "ruby": "ruby", "swift": "swift", "elixir": "elixir", "c": "c", "cpp": "cpp", "sql": "sql",
-    "bash": "bash", "json": "json", "yaml": "yaml", "toml": "toml", "markdown": "markdown", "dockerfile": "dockerfile", "make": "makefile",
-}
+FENCES = {"golang": "go", "javascript": "js", "typescript": "ts", "tsx": "tsx"}
 
 
 def tokens(text: Column) -> Column:
@@ -78,15 +74,15 @@ def recall(answers: Column, found: Column) -> Column:
 
 
 def preview(members: Column, n: int) -> Column:
-    """The first ``n`` members and how many more there are."""
-    more = F.size(members) - n
-    head = F.array_join(F.slice(members, 1, n), ", ")
-    return F.when(more > 0, F.concat(head, F.lit(", … (+"), more.cast("string"), F.lit(" more)"))).otherwise(head)
+    """The first ``n`` members as code, and an ellipsis where there are more."""
+    head = F.concat(F.lit("`"), F.array_join(F.slice(members, 1, n), "`, `"), F.lit("`"))
+    return F.when(F.size(members) == 0, F.lit("none")).when(F.size(members) > n, F.concat(head, F.lit(", …"))).otherwise(head)
 
 
 def fence(format_: Column) -> Column:
+    """The name by which a code fence calls a format."""
     table = F.create_map(*[F.lit(x) for pair in FENCES.items() for x in pair])
-    return F.coalesce(F.element_at(table, format_), F.lit(""))
+    return F.coalesce(F.element_at(table, format_), format_)
 
 
 def first_line(text: Column) -> Column:

@@ -85,7 +85,8 @@ def stamped(documents: DataFrame, states: DataFrame, last: tuple | None) -> Data
         for k, v in zip(("git_head", "git_head_author", "git_head_date"), (last[0], last[1], last[2].isoformat())):
             meta += [F.lit(k), F.lit(v)]
     joined = documents.join(states, "path", "left")
-    return joined.withColumn("metadata", F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), F.create_map(*meta))).drop("code")
+    rest = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: ~F.startswith(k, F.lit("git_")))
+    return joined.withColumn("metadata", F.map_concat(rest, F.create_map(*meta))).drop("code")
 
 
 def changed_only(files: DataFrame, states: DataFrame) -> DataFrame:

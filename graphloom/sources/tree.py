@@ -12,27 +12,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# File names and extensions of each format.
-BY_NAME = {"dockerfile": "dockerfile", "makefile": "make", "gnumakefile": "make", "gemfile": "ruby", "rakefile": "ruby"}
-BY_EXTENSION = {
-    ".go": "golang", ".pdf": "pdf", ".md": "markdown", ".markdown": "markdown", ".csv": "spreadsheet", ".tsv": "spreadsheet", ".xls": "spreadsheet",
-    ".xlsx": "spreadsheet", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript",
-    ".cjs": "javascript", ".py": "python", ".rs": "rust", ".sql": "sql", ".sh": "bash", ".bash": "bash", ".java": "java", ".kt": "kotlin", ".kts": "kotlin",
-    ".php": "php", ".cs": "csharp", ".swift": "swift", ".rb": "ruby", ".ex": "elixir", ".exs": "elixir", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp",
-    ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx",
-    ".dockerfile": "dockerfile", ".mk": "make",
+# File names and extensions of each format, and what is never indexed.
+BY_NAME = {
+    "dockerfile": "dockerfile", "containerfile": "dockerfile", "makefile": "make", "gnumakefile": "make", "gemfile": "ruby", "rakefile": "ruby", "podfile": "ruby",
+    "mix.exs": "elixir",
 }
+EXTENSIONS = {
+    "golang": "go", "pdf": "pdf", "markdown": "md markdown", "spreadsheet": "xlsx xls csv", "json": "json", "yaml": "yaml yml", "toml": "toml",
+    "javascript": "js jsx mjs cjs", "python": "py pyi pyw", "rust": "rs", "sql": "sql", "bash": "sh bash", "java": "java", "kotlin": "kt kts", "php": "php",
+    "csharp": "cs csx", "swift": "swift", "ruby": "rb gemspec", "elixir": "ex exs", "c": "c h", "cpp": "cpp cc cxx hpp hh hxx", "typescript": "ts mts cts",
+    "tsx": "tsx", "dockerfile": "dockerfile", "make": "mk make",
+}
+BY_EXTENSION = {"." + e: f for f, es in EXTENSIONS.items() for e in es.split()}
 SKIP_DIRS = frozenset((".git", ".hg", ".svn"))
 SKIP_EXTENSIONS = frozenset(
-    (
-        ".png .jpg .jpeg .gif .bmp .ico .svg .webp .tiff .mp3 .mp4 .wav .avi .mov .mkv .webm .ogg .flac .zip .tar .gz .bz2 .xz .7z .rar .jar .war .class .exe .dll .so "
-        ".dylib .o .a .bin .wasm .ttf .otf .woff .woff2 .eot .pyc .db .sqlite"
+    "." + e
+    for e in (
+        "png jpg jpeg gif svg webp ico bmp avif tiff woff woff2 ttf otf eot zip tar gz tgz bz2 xz rar 7z dmg pkg mp4 mov mkv avi webm mp3 wav flac ogg aac "
+        "exe dll so dylib bin wasm class jar map"
     ).split()
 )
 SKIP_NAMES = frozenset(
     (
-        "package-lock.json yarn.lock pnpm-lock.yaml go.sum cargo.lock poetry.lock pipfile.lock composer.lock gemfile.lock mix.lock uv.lock bun.lockb "
-        ".ds_store thumbs.db desktop.ini"
+        "package-lock.json yarn.lock pnpm-lock.yaml bun.lockb bun.lock go.sum cargo.lock gemfile.lock composer.lock poetry.lock flake.lock npm-shrinkwrap.json "
+        ".ds_store desktop.ini thumbs.db"
     ).split()
 )
 CHUNK = 256
@@ -42,9 +45,7 @@ COLUMNS = "path string, language string, size bigint, updated_at timestamp, cont
 def detect_language(path: str) -> str:
     """By file name, then by extension in any case, else ``unstructured``."""
     name = path.rsplit("/", 1)[-1].lower()
-    if name in BY_NAME or name.startswith("dockerfile."):
-        return BY_NAME.get(name, "dockerfile")
-    return BY_EXTENSION.get(os.path.splitext(name)[1], "unstructured")
+    return BY_NAME.get(name) or BY_EXTENSION.get("." + name.rpartition(".")[2] if "." in name else "", "unstructured")
 
 
 def skipped(path: str, is_dir: bool) -> bool:
@@ -52,7 +53,7 @@ def skipped(path: str, is_dir: bool) -> bool:
     name = path.rsplit("/", 1)[-1].lower()
     if is_dir:
         return name in SKIP_DIRS
-    return name in SKIP_NAMES or os.path.splitext(name)[1] in SKIP_EXTENSIONS
+    return name in SKIP_NAMES or ("." in name and "." + name.rpartition(".")[2] in SKIP_EXTENSIONS)
 
 
 @dataclass(frozen=True)
