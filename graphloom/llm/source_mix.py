@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     at = at.withColumn("capped", capped)
     at = at.withColumn("held", F.sum(F.when(F.col("capped"), F.col("source_size")).otherwise(0)).over(every))
     at = at.withColumn("free", F.sum(F.when(F.col("capped"), F.lit(0)).otherwise(F.col("weight"))).over(every))
-    level = (F.lit(SHARE_HALVES) * F.col("total") - F.lit(CAP_HALVES) * F.col("held")) * F.col("weight") / (2 * F.col("free"))
+    level = (F.lit(SHARE_HALVES) * F.col("total") - F.lit(CAP_HALVES) * F.col("held")) * F.col("weight") / F.nullif(2 * F.col("free"), F.lit(0))
     target = F.when(F.col("capped"), (F.lit(CAP_HALVES) * F.col("source_size") / 2).cast("double")).otherwise(level.cast("double"))
     return at.select("source", "source_size", "weighted", target.alias("target"))
 
@@ -86,15 +86,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -
     )
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighted"))
     plan = targets(sizes, weights)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
+    whole = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("bigint")
     plan = plan.withColumn("whole", whole).withColumn("want", F.col("target") - F.col("whole") * F.col("source_size"))
     # Null sources join by a key of their own.
     plan = materialize(plan.withColumn("key", _key()), "targets").drop("source")
     few = plan.count() <= BROADCAST_SOURCES
     hint = F.broadcast if few else (lambda x: x)
-    chance = F.least(F.col("want") * F.col("weight") / F.col("weighted"), F.lit(0.999))
+    chance = F.least(F.col("want") * F.col("weight") / F.nullif(F.col("weighted"), F.lit(0)), F.lit(0.999))
     u = (F.col("number") + 0.5) / F.lit(float(1 << 48))
-    odds = (u / (1 - u)) * ((1 - F.col("chance")) / F.col("chance"))
+    odds = (u / (1 - u)) * ((1 - F.col("chance")) / F.nullif(F.col("chance"), F.lit(0.0)))
     ranked = (
         light.withColumn("key", _key()).drop("source").join(hint(plan), "key")
         .withColumn("chance", chance)

@@ -110,7 +110,8 @@ def _with_next(docs: DataFrame) -> DataFrame:
             within = F.floor((F.col("at") - F.lit(start)) / F.lit(max(1, -(-(end - start) // parts)))).cast("bigint")
             within = F.least(within, F.lit(parts - 1)) + i * parts
             bucket = within if bucket is None else F.when(F.col("at") < F.lit(bounds[i + 1]), within).otherwise(bucket)
-        bucket = F.coalesce(bucket, F.lit(len(bounds) * parts).cast("bigint"))
+        # least() passes over nulls, so rows without a doc_id are told apart here.
+        bucket = F.when(F.col("at").isNull(), F.lit(len(bounds) * parts).cast("bigint")).otherwise(bucket)
     rows = rows.withColumn("bucket", bucket)
     # Nulls come last: the first row of a bucket has the least complement, of ties the least text.
     heads = rows.groupBy("bucket").agg(F.min(F.struct("at", "text", "doc_id")).alias("head"))
