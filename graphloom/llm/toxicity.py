@@ -161,14 +161,25 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
     if not len(y) or y.min() == y.max():
         marks = _insult_marks()
         return Classifier(marks, np.full(len(marks), 2.0), -1.0)
+    words, shouts = got["words"].to_numpy()[order], got["shouts"].to_numpy(zero_copy_only=False)[order]
     sets = got["marks"].combine_chunks()
+    del got
     sets = [np.frombuffer(sets[int(i)].as_buffer(), dtype=np.uint64) for i in order]
-    row = np.repeat(np.arange(len(y)), [len(s) for s in sets])
-    names, col, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = counts >= 3
-    keep = often[col]
-    row, col = row[keep], (np.cumsum(often) - 1)[col[keep]]
-    names = names[often]
+    names = np.concatenate(sets)
+    names.sort()
+    # Features of three rows or more; a row has each once.
+    third = names[2:] == names[:-2] if len(names) > 2 else np.empty(0, dtype=bool)
+    names = np.unique(names[2:][third])
+    rows_, cols_ = [], []
+    for i, s in enumerate(sets):
+        at = np.searchsorted(names, s)
+        ok = at < len(names)
+        ok[ok] = names[at[ok]] == s[ok]
+        cols_.append(at[ok].astype(np.int32))
+        rows_.append(np.full(int(ok.sum()), i, dtype=np.int32))
+    del sets
+    row, col = np.concatenate(rows_), np.concatenate(cols_)
+    del rows_, cols_
     n, width = len(y), len(names)
 
     # Lexicons of two folds, each for the other one's rows.
@@ -182,14 +193,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
         share = max(1.0, float((y[fold != f] == 1).sum())) / max(1.0, float((y[fold != f] == 0).sum()))
         lift = np.log((pos + 0.5) / (neg + 0.5)) - np.log(share)
         strong.append((pos, lift))
-    words = got["words"].to_numpy()[order]
     for least, above in ((2, 2.0), (3, 2.5), (6, 3.0)):
         hit = np.zeros(n, dtype=bool)
         for f in (0, 1):
             pos, lift = strong[f]
             hit |= (fold == f) & _hits(row, col, n, (pos >= least) & (lift > above))
         votes.append(np.where(hit, 1, np.where(words >= 3, -1, 0)))
-    votes.append(np.where(got["shouts"].to_numpy(zero_copy_only=False)[order], 1, 0))
+    votes.append(np.where(shouts, 1, 0))
     votes.append(np.where(y == 1, 1, -1))
     votes = np.stack(votes, axis=1)
     model = LabelModel(votes, np.where(y == 1, 0.9, 0.05))
