@@ -1,7 +1,8 @@
 """Personal data by candidate gradient boosting, in native columns only.
 
 High-recall generators propose spans: four strict kinds whose format proves them (the base),
-and wide ones, numbers in any punctuation and spelled-out addresses.  A wide candidate that
+and wide ones, numbers in any punctuation, telephone numbers without a country, and
+spelled-out addresses.  A wide candidate that
 overlaps a base span is a positive example and any other an unlabelled one; boosted trees
 learn from format and context, without the marks that define the base kinds, which
 candidates look like personal data.  The score from which candidates are selected is
@@ -25,10 +26,11 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NUMBER = r"[(]?[0-9](?:[\x20().,:/-]{0,2}[0-9]){6,}+"
+LOCAL = r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-]\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 SPELLED = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({<]\x20?(?:at|AT|@)\x20?[\])}>]\x20?[A-Za-z0-9-]+(?:(?:\x20?[\[({<]\x20?(?:dot|DOT|\.)\x20?[\])}>]\x20?|\.)[A-Za-z0-9-]+)+"
 SPELLED_MARK = r"[\[({<]\x20?(?:at|AT|@)\x20?[\])}>]"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
-KINDS = ("email", "ip", "card", "phone", "number", "spelled")
+KINDS = ("email", "ip", "card", "phone", "number", "local", "spelled")
 CONTEXT = 24
 #: Candidates on which the trees are fitted and calibrated: a bounded sample by hash.
 SAMPLE = 4000
@@ -61,7 +63,7 @@ def _features(s: Column) -> Column:
         flag(around.rlike("phone|tel|call|mobile|fax|contact")), flag(around.rlike("card|visa|payment|iban|account")),
         flag(around.rlike("ssn|passport|licen|social|birth|address|server|host")), flag(around.rlike("[$€£%]|page|version|isbn|total|year")),
         flag(F.right(s["before"], F.lit(1)).rlike("[A-Za-z0-9]")), flag(F.left(s["after"], F.lit(1)).rlike("[A-Za-z0-9]")),
-        flag(v.contains("@") | v.rlike(SPELLED_MARK)),
+        flag(v.contains("@") | v.rlike(SPELLED_MARK)), flag(v.rlike("^" + LOCAL + "$")),
     ).cast(FEATURES)
 
 
@@ -91,7 +93,7 @@ def wide_spans(text: Column) -> Column:
             lambda s: F.struct(F.lit(KINDS.index(kind)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), _features(s).alias("features")),
         )
 
-    return F.concat(spans("number", NUMBER, NUMBER), spans("spelled", SPELLED, SPELLED_MARK))
+    return F.concat(spans("number", NUMBER, NUMBER), spans("local", LOCAL, LOCAL), spans("spelled", SPELLED, SPELLED_MARK))
 
 
 def _candidates(docs: DataFrame, *extra: Column) -> DataFrame:
@@ -105,9 +107,15 @@ def _candidates(docs: DataFrame, *extra: Column) -> DataFrame:
 def fit(candidates: DataFrame, sample: int = SAMPLE) -> Boosted:
     """Trees fitted on at most ``sample`` wide candidates, chosen by hash; fewer than 40 select nothing."""
     each = candidates.where(F.size("wide") > 0).select("doc_id", F.explode("wide").alias("w"))
+    n = candidates.agg(F.sum(F.size("wide"))).first()[0] or 0
     rows = each.select(F.col("w.features").alias("x"), F.col("w.known").alias("y"), F.xxhash64("doc_id", "w.start", "w.end", "w.features").alias("h"))
-    got = rows.orderBy("h", F.col("y"), F.col("x")).limit(sample).collect()
-    x = np.array([r["x"] for r in got], dtype=float).reshape(len(got), -1)
+    # A hash under a bound first, so that no task sends many rows for the driver to choose from.
+    if n > 4 * sample:
+        rows = rows.where(F.pmod("h", F.lit(1 << 20)) < F.lit(max(1, (2 * sample << 20) // n)))
+    got = rows.orderBy(F.pmod("h", F.lit(1 << 20)), "h", F.col("y"), F.col("x")).limit(sample).collect()
+    if not got:
+        return Boosted(np.empty((0, 1)), np.empty(0, dtype=int))
+    x = np.array([r["x"] for r in got], dtype=float)
     return Boosted(x, np.array([r["y"] for r in got], dtype=int))
 
 
