@@ -25,23 +25,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct(),
         "edges",
     )
-    loops = now.where("u = v").select(F.col("u").alias("node"))
     seen = now.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    first, cur = now, now.where("u < v")
-    before = None
-    while True:
-        wide = _large_star(cur)
-        nxt = materialize(_small_star(wide), "stars")
-        state = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if cur is not first and getattr(cur, "_graphloom_path", None):
-            release(cur)
+    cur, before, state = now.where("u < v"), None, ()
+    while state != before:
+        before = state
+        nxt = materialize(_small_star(_large_star(cur)), "stars")
+        state = tuple(nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        release(cur)
         cur = nxt
-        if tuple(state) == before:
-            break
-        before = tuple(state)
     # Converged: every edge points from a node to its component's smallest node.
     roots = cur.select(F.col("v").alias("node"), F.col("u").alias("root"))
-    del loops
     return seen.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").cast(kind).alias("component")
     )
