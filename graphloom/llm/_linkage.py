@@ -10,11 +10,12 @@ item has some keys, chosen so that two linked items always share one.  Then
 2. the gathering task links the firsts of each key in the same way.  All distinct star
    pairs are verified, and the components of the verified links are found;
 3. only keys of three or more items that still lie in several components are looked at
-   again: their items are dealt into tiles of bounded size, and pairs across components
-   that pass a bound from the items' signatures are verified.
+   again: their items are dealt into tiles of bounded size.  Of the pairs across components
+   that pass a bound from the items' signatures, a tile first gives only as many as would
+   join its components, in ``FORESTS`` rounds of different order, and then all that are left.
 
 Linked items end in one component: they share a key, and after step 2 they either are in
-one component already or meet in a tile of step 3.
+one component already or meet in the last round of step 3.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import _tokens
 from graphloom.operators.components import connected_components
-from graphloom.plans.shared import materialize
+from graphloom.plans.shared import arrow_rows, materialize, release
 
 #: Where sides are used, two entries of side 2 do not make a pair.
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("side", "u1")])
@@ -35,8 +37,12 @@ PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 STAR, KEY, MEMBER = 0, 1, 2
 #: Key entries that a task sorts at once.
 BLOCK = 1 << 20
+#: Rows of an Arrow batch.
+ARROW_ROWS = 2048
 #: Items on each edge of a tile.
 TILE = 512
+#: Rounds in which tiles give forests of pairs.
+FORESTS = 2
 PACKED = "kind int, bucket int, payload binary"
 ROWS = "kind int, x long, y long, side int"
 
@@ -158,11 +164,34 @@ def keyed(frame: DataFrame, keys_of: Callable, sided: bool = False) -> DataFrame
             yield _block(np.concatenate(held), n, sided)
 
     packed = frame.mapInArrow(run, PACKED).repartition("bucket")
-    return materialize(packed.mapInArrow(_gather(sided), ROWS), "keyed")
-
-
-def _tiles(keep: Callable, sided: bool) -> Callable:
-    """Pairs of a tile that lie in different components and that ``keep`` lets pass."""
+    with arrow_rows(frame.sparkSession, ARROW_ROWS):
+        return materialize(packed.mapInArrow(_gather(sided), ROWS), "keyed")
+
+
+def _forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray, turn: int) -> np.ndarray:
+    """Of the index pairs, as many as join the components that they can join."""
+    label = np.unique(comp, return_inverse=True)[1]
+    order = np.argsort(_tokens.mix(a.astype(np.uint64) * np.uint64(len(comp)) + b.astype(np.uint64) + np.uint64(turn << 40)), kind="stable")
+    a, b = a[order], b[order]
+    chosen = []
+    while True:
+        x, y = label[a], label[b]
+        across = np.flatnonzero(x != y)
+        if not len(across):
+            return order[np.unique(np.concatenate(chosen))] if chosen else np.empty(0, dtype=np.int64)
+        # Every component but the least of its neighbours takes its first pair to a lesser one.
+        more, less = np.maximum(x, y)[across], np.minimum(x, y)[across]
+        top, at = np.unique(more, return_index=True)
+        chosen.append(across[at])
+        to = np.arange(label.max() + 1)
+        to[top] = less[at]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def _tiles(keep: Callable, sided: bool, turn: int | None) -> Callable:
+    """Pairs of a tile that lie in different components and that ``keep`` lets pass; with a turn, a forest of them."""
 
     def one(rows: dict) -> tuple[np.ndarray, np.ndarray]:
         left = np.flatnonzero(rows["part"] == rows["i"])
@@ -188,15 +217,22 @@ def _tiles(keep: Callable, sided: bool) -> Callable:
             yield from emit(rest, [0, len(rest["key"])])
 
     def emit(now: dict, cuts: list[int]):
-        found = []
+        found, open_keys = [], []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             rows = {c: v[lo:hi] for c, v in now.items()}
             a, b = one(rows)
             if len(a):
                 ok = keep(rows["size"], rows["mark"], a, b)
-                if ok.any():
-                    found.append(_pairs(rows["id"][a[ok]], rows["id"][b[ok]]))
+                a, b = a[ok], b[ok]
+                if turn is not None and len(a):
+                    few = _forest(a, b, rows["comp"], turn)
+                    a, b = a[few], b[few]
+                if len(a):
+                    found.append(_pairs(rows["id"][a], rows["id"][b]))
+                    open_keys.append(rows["key"][0])
         if found:
+            keys = np.unique(np.array(open_keys, dtype=np.int64))
+            yield from _row_batches(KEY, keys, np.zeros_like(keys))
             pairs = np.unique(np.concatenate(found))
             yield from _row_batches(STAR, pairs["a"], pairs["b"])
 
@@ -216,34 +252,34 @@ def components(
     turns distinct pairs ``(a, b)`` into those that are linked.  ``keep(size, mark, a, b)``
     says which index pairs of a tile can be linked at all.
     """
+    spark = rows.sparkSession
     pairs = rows.where(f"kind = {STAR}").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    links = materialize(verify(pairs), "links")
-    comps = connected_components(links)
+    comps = materialize(connected_components(verify(pairs)), "components")
     # A pair that shares a key of two items was a star pair: only larger keys can hide a link.
-    members = (
-        rows.where(f"kind = {MEMBER}")
-        .select(F.col("x").alias("key"), F.col("y").alias("id"), "side")
-        .join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left")
-        .withColumn("comp", F.coalesce("comp", "id"))
-        .dropDuplicates(["key", "id", "side"])
-    )
-    members = materialize(members, "members")
-    mixed = (
-        members.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b"))
-        .where("n > 2 and lo <> hi")
-        .select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    )
-    again = (
-        members.join(mixed, "key")
-        .join(nodes.select("id", "size", "mark"), "id")
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "comp", "side", "size", "mark")
-    )
-    tiles = again.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = tiles.mapInArrow(_tiles(keep, sided), ROWS).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = materialize(verify(rest), "links")
-    ends = comps.select(F.col("node"), F.col("component"))
-    joined = connected_components(ends.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(more.select("a", "b")))
-    return joined
+    members = rows.where(f"kind = {MEMBER}").select(F.col("x").alias("key"), F.col("y").alias("id"), "side").distinct()
+    large = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    members = materialize(members.join(large, "key"), "members")
+    for turn in (*range(FORESTS), None):
+        now = members.join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        now = materialize(now, "placed")
+        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        tiled = (
+            now.join(mixed, "key")
+            .join(nodes.select("id", "size", "mark"), "id")
+            .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+            .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "comp", "side", "size", "mark")
+        )
+        tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        with arrow_rows(spark, ARROW_ROWS):
+            given = materialize(tiled.mapInArrow(_tiles(keep, sided, turn), ROWS), "tiles")
+        release(now)
+        rest = given.where(f"kind = {STAR}").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        if rest.isEmpty():
+            break
+        # A key whose tiles gave no pair never will: components only grow.
+        members = materialize(members.join(given.where(f"kind = {KEY}").select(F.col("x").alias("key")).distinct(), "key", "left_semi"), "members")
+        more = verify(rest)
+        ends = comps.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        comps = materialize(connected_components(ends.unionAll(more.select("a", "b"))), "components")
+    return comps

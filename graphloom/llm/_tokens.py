@@ -13,8 +13,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
-#: Bytes hashed at once; holds the temporary arrays to some tens of megabytes.
-CHUNK = 1 << 20
+#: Bytes hashed at once; holds the temporary arrays to some megabytes.
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

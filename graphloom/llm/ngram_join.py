@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import _linkage, _tokens
-from graphloom.plans.shared import materialize
+from graphloom.plans.shared import arrow_rows, materialize
 
 WIDTH = 5
 PERCENT = 80
@@ -147,7 +147,8 @@ def _text_key():
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, text_key, n_shingles, class)``: the class of linked sets of each row, null without words."""
     docs = docs.select("doc_id", "text")
-    table = materialize(shingle_table(docs, width), "shingles")
+    with arrow_rows(docs.sparkSession, _linkage.ARROW_ROWS):
+        table = materialize(shingle_table(docs, width), "shingles")
     nodes = table.where("size > 0").groupBy("id").agg(F.first("size").alias("size"), F.first("mark").alias("mark"), F.min("text_key").alias("text_key"))
     nodes = materialize(nodes, "sets")
 
@@ -248,5 +249,6 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, keep, width: in
         .join(texts.select(F.col("text_key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
         .select("a", "b", "text_a", "text_b")
     )
-    del spark
-    return whole.mapInArrow(exact, "a long, b long")
+    # Two whole texts a row.
+    with arrow_rows(spark, _linkage.ARROW_ROWS // 4):
+        return materialize(whole.mapInArrow(exact, "a long, b long"), "linked")
