@@ -49,3 +49,12 @@ def test_distance_of_many_edits():
         b.append(np.array([ord(c) for c in "".join(y)], dtype=np.uint32))
         limit.append(r.randint(4, 12))
     assert _edit.within(a, b, np.array(limit)).tolist() == [_edit._plain(x, y) <= t for x, y, t in zip(a, b, limit)]
+
+
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "Yes.\n\n  Yes.\t\nNo."), (2, "a long enough line to be joined\nNo!"), (3, "Yes.\n \nNo!"), (4, "No.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(x) for x in line_dedup.line_classes(df).drop("text_key").collect()}
+    assert got == {(1, 2, 1, 0), (3, 0, 1, 0), (3, 2, 2, 1), (4, 0, 1, 3)}
+    kept = {x["doc_id"]: x["text"] for x in line_dedup.dedup(df).collect()}
+    assert kept == {1: "Yes.\n\nNo.", 2: rows[1][1]}
