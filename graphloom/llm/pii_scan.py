@@ -119,6 +119,15 @@ def fit(candidates: DataFrame, sample: int = SAMPLE) -> Boosted:
     return Boosted(x, np.array([r["y"] for r in got], dtype=int))
 
 
+def selected(docs: DataFrame, sample: int = SAMPLE, *extra: Column) -> DataFrame:
+    """``doc_id``, the columns ``extra`` and the spans that are selected: ``base`` and, of those that touch none, ``likely``."""
+    found = materialize(_candidates(docs, *extra), "personal")
+    model = fit(found, sample)
+    likely = F.filter("wide", lambda w: ~w["known"] & (model.column(w["features"]) >= F.lit(model.cut))) if model.trees and model.cut < float("inf") else F.filter("wide", lambda w: F.lit(False))
+    plain = F.transform(likely, lambda w: F.struct(w["rank"].alias("rank"), w["start"].alias("start"), w["end"].alias("end"), w["kind"].alias("kind")))
+    return found.withColumn("likely", F.array_sort(plain)).drop("wide")
+
+
 def scan(docs: DataFrame, sample: int = SAMPLE, *extra: Column) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): its personal data.
 
@@ -127,13 +136,8 @@ def scan(docs: DataFrame, sample: int = SAMPLE, *extra: Column) -> DataFrame:
     texts count as empty; repeated rows and null doc_ids keep their rows; other columns are
     not read.
     """
-    found = materialize(_candidates(docs, *extra), "personal")
-    model = fit(found, sample)
-    likely = F.filter("wide", lambda w: ~w["known"] & (model.column(w["features"]) >= F.lit(model.cut))) if model.trees and model.cut < float("inf") else F.filter("wide", lambda w: F.lit(False))
-    plain = F.transform(likely, lambda w: F.struct(w["rank"].alias("rank"), w["start"].alias("start"), w["end"].alias("end"), w["kind"].alias("kind")))
     count = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("bigint").alias(f"n_{k}")
-    kept = found.withColumn("likely", F.array_sort(plain))
-    return kept.select(
+    return selected(docs, sample, *extra).select(
         "doc_id", *(count(k) for k in KINDS[:4]),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.concat("base", "likely")).alias("spans"),
@@ -142,9 +146,12 @@ def scan(docs: DataFrame, sample: int = SAMPLE, *extra: Column) -> DataFrame:
 
 
 def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``(doc_id, text)`` with base spans replaced by ``[KIND]``; of overlapping spans the first, then longest, is replaced."""
-    with_text = docs.select("doc_id", "text", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
-    ordered = F.array_sort(F.transform("base", lambda b: F.struct(b["start"].alias("start"), (-b["end"]).alias("back"), b["kind"].alias("kind"))))
+    """``(doc_id, text)`` with the spans that ``scan`` selects replaced by ``[KIND]``.
+
+    Spans that overlap are replaced together, by the kind of the first, of those the longest.
+    """
+    with_text = selected(docs, sample, F.col("doc_id").alias("_id"), F.col("text")).select(F.col("_id").alias("doc_id"), "text", F.concat("base", "likely").alias("spans"))
+    ordered = F.array_sort(F.transform("spans", lambda b: F.struct(b["start"].alias("start"), (-b["end"]).alias("back"), b["kind"].alias("kind"))))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -152,7 +159,8 @@ def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             F.concat(acc["out"], F.expr("text").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
             (-s["back"]).alias("at"),
         )
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(acc)
+        longer = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], -s["back"]).alias("at"))
+        return F.when(s["start"] >= acc["at"], fresh).otherwise(longer)
 
     done = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.expr("text").substr((a["at"] + 1).cast("int"), F.lit(1 << 30))))
-    return with_text.select("doc_id", F.when(F.size("base") > 0, done).otherwise(F.col("text")).alias("text"))
+    return with_text.select("doc_id", F.when(F.size("spans") > 0, done).otherwise(F.col("text")).alias("text"))

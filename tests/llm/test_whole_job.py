@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from graphloom.llm import _edit, line_dedup
+from graphloom.llm import _edit, line_dedup, pii_scan
 
 
 def near(a, b):
@@ -58,3 +58,21 @@ def test_short_lines_repeat_exactly(spark):
     assert got == {(1, 2, 1, 0), (3, 0, 1, 0), (3, 2, 2, 1), (4, 0, 1, 3)}
     kept = {x["doc_id"]: x["text"] for x in line_dedup.dedup(df).collect()}
     assert kept == {1: "Yes.\n\nNo.", 2: rows[1][1]}
+
+
+def test_redaction_takes_all_that_the_scan_selects(spark):
+    r = random.Random(6)
+    digits = lambda n: "".join(r.choice("23456789") for _ in range(n))
+    rows = [(i, f"please call +1 {digits(3)} {digits(3)} {digits(4)} today") for i in range(150)]
+    rows += [(1000 + i, f"please call {digits(3)} {digits(3)} {digits(4)} today") for i in range(20)] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {x["doc_id"]: x["spans"] for x in pii_scan.scan(df).collect()}
+    texts = {x["doc_id"]: x["text"] for x in pii_scan.redact(df).collect()}
+    assert any(spans[1000 + i] for i in range(20))
+    for d, text in rows:
+        if not text:
+            assert texts[d] == text
+            continue
+        hidden = {p for s in spans[d].split(",") if s for p in range(*map(int, s.split(":")[1:]))}
+        left = "".join(c if p not in hidden else "\n" for p, c in enumerate(text))
+        assert all(part in texts[d] for part in left.split("\n")) and sum(map(str.isdigit, texts[d])) == sum(map(str.isdigit, left))
