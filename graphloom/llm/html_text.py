@@ -50,14 +50,16 @@ IMPLIED_END = {
     "body": (frozenset(("head",)), frozenset()),
 }
 _IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+|(?=>)))*+)>", re.S)
 _BEGIN = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
 _ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_GONE = re.compile(r"display\s*:\s*none|opacity\s*:\s*0(?:\.0*)?\s*(?:;|!|$)|content-visibility\s*:\s*hidden", re.I)
-_UNSEEN = re.compile(r"visibility\s*:\s*(hidden|collapse)", re.I)
-_SEEN = re.compile(r"visibility\s*:\s*visible", re.I)
+_PART = re.compile(r"([^{};]*)([{};]|$)")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|opacity|content-visibility|visibility)\s*:\s*([^;!]+)(!\s*important)?", re.I)
+_ZERO = re.compile(r"0+(?:\.0*)?%?|\.0+%?")
+_WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)(px|r?em)\s*\)")
+#: Pixels of the screen for which style sheets are read.
+SCREEN = 1280
 _SIMPLE = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)?(?:\.([\w-]+)|#([\w-]+))?$")
 GAP = " | "
 
@@ -97,16 +99,52 @@ class _Box:
         self.line.append(text)
 
 
-def _hidden_rules(sheet: str) -> dict[tuple, str]:
-    """(tag, class, id) of simple selectors that hide, from one style sheet."""
-    out = {}
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-        how = "gone" if _GONE.search(body) else "unseen" if _UNSEEN.search(body) else None
-        if how:
-            for one in selectors.split(","):
-                m = _SIMPLE.match(one.strip())
-                if m and m[0]:
-                    out[(m[1] and m[1].lower(), m[2], m[3])] = how
+def _declared(body: str) -> list[tuple[str, bool, bool]]:
+    """(property, whether it hides, whether it is important) of the declarations that bear on visibility."""
+    out = []
+    for name, value, important in _DECLARED.findall(body):
+        name, value = name.lower(), value.strip().lower()
+        hides = _ZERO.fullmatch(value) is not None if name == "opacity" else value in {"display": ("none",), "visibility": ("hidden", "collapse")}.get(name, ("hidden",))
+        out.append((name, hides, bool(important)))
+    return out
+
+
+def _on_screen(query: str) -> bool:
+    """Whether one of the media queries holds on a screen of ``SCREEN`` pixels; features other than widths do not."""
+    for one in query.lower().split(","):
+        rest = _WIDTH.sub(lambda m: "" if (float(m[2]) * (1 if m[3] == "px" else 16) <= SCREEN) == (m[1] == "min") or float(m[2]) * (1 if m[3] == "px" else 16) == SCREEN else "(no)", one)
+        if set(rest.split()) <= {"only", "screen", "all", "and"}:
+            return True
+    return False
+
+
+def _rules(sheet: str) -> list[tuple[tuple, list]]:
+    """((tag, class, id), declarations) of simple selectors, in order; blocks of at-rules that do not hold on screen are left out."""
+    out: list[tuple[tuple, list]] = []
+    #: For each open block: whether it holds, and its selectors if it is a rule.
+    blocks: list[tuple[bool, str | None]] = []
+    body: list[str] = []
+    for text, mark in _PART.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+        text, holds = text.strip(), not blocks or blocks[-1][0]
+        if mark == "{":
+            at = text.lower()
+            if at.startswith("@media"):
+                blocks.append((holds and _on_screen(at[6:]), None))
+            elif at.startswith("@"):
+                blocks.append((holds and at.startswith(("@layer", "@supports")), None))
+            else:
+                blocks.append((holds, text))
+                body = []
+        else:
+            body.append(text)
+            if mark == "}" and blocks:
+                holds, selectors = blocks.pop()
+                found = _declared(";".join(body)) if holds and selectors is not None else []
+                for one in selectors.split(",") if found else ():
+                    m = _SIMPLE.match(one.strip())
+                    if m and m[0]:
+                        out.append(((m[1] and m[1].lower(), m[2], m[3]), found))
+                body = []
     return out
 
 
@@ -119,7 +157,9 @@ class _Page:
         self.count: dict[str, int] = {}
         self.gone = self.pre = 0
         self.unseen = False
-        self.rules: dict[tuple, str] = {}
+        #: By selector and property: importance, order, and whether it hides.
+        self.rules: dict[tuple, dict[str, tuple[bool, int, bool]]] = {}
+        self.order = 0
 
     # -- structure
 
@@ -151,7 +191,7 @@ class _Page:
                     stop = close.start() if close else n
                     inner = src[at:stop]
                     if name == "style":
-                        self.rules |= _hidden_rules(inner)
+                        self.learn(inner)
                     elif name in RAW_WITH_ENTITIES:
                         self.text(html.unescape(inner))
                     elif name == "xmp":
@@ -167,6 +207,13 @@ class _Page:
         box.flush()
         return "\n".join(box.lines).strip("\n")
 
+    def learn(self, sheet: str) -> None:
+        for key, found in _rules(sheet):
+            held = self.rules.setdefault(key, {})
+            for prop, hides, important in found:
+                self.order += 1
+                held[prop] = max(held.get(prop, (False, 0, False)), (important, self.order, hides))
+
     def start(self, name: str, raw: str) -> None:
         if self.count.get("head") and name not in _IN_HEAD:
             self.until("head")
@@ -192,19 +239,21 @@ class _Page:
             self.pre += 1
 
     def hides(self, name: str, attrs: dict[str, str]) -> tuple[bool, bool]:
-        gone = name in NEVER or "hidden" in attrs or (name == "dialog" and "open" not in attrs) or (name == "input" and attrs.get("type", "").lower() == "hidden")
+        gone = name in NEVER or (name == "input" and attrs.get("type", "").lower() == "hidden")
         if self.open and self.open[-1][0] == "details" and name != "summary":
             gone = gone or self.boxes[-1].kind == "details-closed"
-        unseen = self.unseen
+        #: By property, what wins: importance, specificity, order, and whether it hides.
+        won = {"display": (False, -1, 0, "hidden" in attrs or (name == "dialog" and "open" not in attrs))}
         if self.rules:
             classes = attrs.get("class", "").split()
             for key in ((name, None, None), (None, None, attrs.get("id")), (name, None, attrs.get("id")), *((t, c, None) for c in classes for t in (None, name))):
-                how = self.rules.get(key)
-                gone, unseen = gone or how == "gone", unseen or how == "unseen"
-        style = attrs.get("style")
-        if style:
-            gone = gone or bool(_GONE.search(style))
-            unseen = bool(_UNSEEN.search(style)) or (unseen and not _SEEN.search(style))
+                weight = 100 * (key[2] is not None) + 10 * (key[1] is not None) + (key[0] is not None)
+                for prop, (important, order, hides) in self.rules.get(key, {}).items():
+                    won[prop] = max(won.get(prop, (False, -2, 0, False)), (important, weight, order, hides))
+        for order, (prop, hides, important) in enumerate(_declared(attrs.get("style", ""))):
+            won[prop] = max(won.get(prop, (False, -2, 0, False)), (important, 1000, order, hides))
+        unseen = won.pop("visibility", (False, 0, 0, self.unseen))[3]
+        gone = gone or any(w[3] for w in won.values())
         return gone, unseen
 
     def close_within(self, ends: frozenset, stops: frozenset) -> None:

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from graphloom.llm import _edit, line_dedup, pii_scan
+from graphloom.llm import _edit, html_text, line_dedup, pii_scan
 
 
 def near(a, b):
@@ -76,3 +76,14 @@ def test_redaction_takes_all_that_the_scan_selects(spark):
         hidden = {p for s in spans[d].split(",") if s for p in range(*map(int, s.split(":")[1:]))}
         left = "".join(c if p not in hidden else "\n" for p, c in enumerate(text))
         assert all(part in texts[d] for part in left.split("\n")) and sum(map(str.isdigit, texts[d])) == sum(map(str.isdigit, left))
+
+
+def test_visible_text_of_pages_stays():
+    for source, want in [
+        ("<style>@media print{.n{display:none}} @media (max-width:600px){.w{display:none}} .z{display:none}</style><p class=n>a<p class=w>b<p class=z>c", "a\n\nb"),
+        ("<style>@media screen and (min-width:600px){.n{display:none}}</style><p class=n>a<p>b", "b"),
+        ("<style>.h{display:none}.h{display:block}.k{display:none}</style><p class=h>a<p class=k style='display:block'>b<p class=k>c", "a\n\nb"),
+        ("<p title=it's>a</p><p title=it's>b</p>", "a\n\nb"),
+        ('x<img alt="" tall">y<b id="z">w</b>', "xyw"),
+    ]:
+        assert html_text._Page(source).run() == want
