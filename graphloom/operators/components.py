@@ -40,6 +40,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
+def joined_components(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comps`` (node, component) after more ``edges`` (a, b): only components that these touch are worked on."""
+    ends = edges
+    for c in ("a", "b"):
+        of = comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        ends = ends.join(of, c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    merged = materialize(connected_components(ends, "of_a", "of_b"), "merged")
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = comps.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = merged.join(comps.select("node"), "node", "left_anti").select("node", "component")
+    return known.unionAll(fresh)
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -8,6 +8,7 @@ the columns stay prunable, which ``DataFrame.checkpoint`` would not give.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -15,12 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session takes a temporary folder; on a cluster that is an
+    error, as executors would write where no other machine reads.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -38,6 +45,20 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+_made: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def tracked():
+    """Within it, every table that ``materialize`` makes is appended to the list that it gives."""
+    made: list[DataFrame] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.remove(made)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back."""
     spark = df.sparkSession
@@ -45,11 +66,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
+    for made in _made:
+        made.append(out)
     return out
 
 
-def release(df: DataFrame | None) -> None:
-    """Delete a table made by ``materialize`` that no later plan reads."""
+def reads(df: DataFrame, tables: list[DataFrame]) -> bool:
+    """Whether the plan of ``df`` reads one of ``tables`` that ``materialize`` made; true where that can't be told."""
+    try:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        paths = [leaves.apply(i).relation().location().rootPaths().mkString("\n") for i in range(leaves.size())]
+    except Exception:  # a leaf that is no table of files
+        return True
+    return any(t._graphloom_path.rpartition("/")[2] in p for t in tables for p in paths)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so for plans that the driver has collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``materialize`` that no later plan reads."""
+    for df in tables:
+        _delete(df)
+
+
+def _delete(df: DataFrame | None) -> None:
     path = getattr(df, "_graphloom_path", None)
     if path is None:
         return
