@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that a keyword query does not look for.
 STOPWORDS = (
-    "the and for with what how does are from into that this which where when who why use used uses using show find list get all any can has have "
-    "was were will would should could about between kg"
+    "the and for are how what which when where who that this with from into onto than then them does dont cant have has was were been being "
+    "also not but all any can you its it's our your their will would could should used use get"
 ).split()
 FENCES = {"golang": "go", "javascript": "js", "typescript": "ts", "tsx": "tsx"}
 
@@ -73,6 +73,20 @@ def recall(answers: Column, found: Column) -> Column:
     return F.when(F.size(answers) == 0, F.lit(0.0)).otherwise(F.size(F.filter(answers, lambda a: F.array_contains(found, a))) / F.size(answers))
 
 
+def reduction(used: Column, baseline: Column) -> Column:
+    """How much less is read, as a share of the baseline; 0 without one."""
+    return F.when(baseline > 0, 1 - used / baseline).otherwise(0.0)
+
+
+def retrieval_summary(rows: DataFrame, column: str) -> DataFrame:
+    """One row: ``mean_reduction, upper_median, n``; of an even number of values the median is the upper one."""
+    return rows.agg(
+        F.round(F.avg(column), 6).alias("mean_reduction"),
+        F.round(F.expr(f"-percentile_disc(0.5) within group (order by -{column})"), 6).alias("upper_median"),
+        F.count("*").alias("n"),
+    )
+
+
 def preview(members: Column, n: int) -> Column:
     """The first ``n`` members as code, and an ellipsis where there are more."""
     head = F.concat(F.lit("`"), F.array_join(F.slice(members, 1, n), "`, `"), F.lit("`"))

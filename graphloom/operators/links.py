@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
@@ -33,10 +33,11 @@ def name_registry(entities: DataFrame) -> DataFrame:
 def implements(entities: DataFrame) -> DataFrame:
     """A struct implements an interface if its name ends with the interface's.
 
-    All suffixes of struct names are joined by equality; the interface's length keeps the
+    Of interfaces of one name, the least id stands for it; entities of other types do not
+    hide an interface.  All suffixes of struct names are joined by equality; the interface's length keeps the
     empty name from matching more than once.
     """
-    interfaces = name_registry(entities).where("type = 'interface'").select(F.col("name").alias("suffix"), F.col("entity_id").alias("target_id"))
+    interfaces = name_registry(entities.where("type = 'interface'")).select(F.col("name").alias("suffix"), F.col("entity_id").alias("target_id"))
     n = F.char_length("name")
     structs = entities.where("type = 'struct'").select("entity_id", F.explode(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.expr("name").substr(i, n))).alias("suffix"))
     return structs.join(interfaces, "suffix").select(*_link(F.col("entity_id"), F.col("target_id"), "implements", 0.8, INFERRED, rule="naming_convention_heuristic"))
@@ -70,10 +71,22 @@ def part_of(members: DataFrame) -> DataFrame:
     return members.select(*_link(F.col("path"), paths.package_id(F.col("pkg_key")), "part_of", 1.0, EXTRACTED, rule="package_clause"))
 
 
-def packages(members: DataFrame) -> DataFrame:
-    """``(pkg_key, name, files)``: the name is that of the least path with one."""
+def packages(members: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """``(pkg_key, name, import_path, files, imports)``: the name is that of the least path with one.
+
+    imports: links from ``package_imports``; a package imports what its files import, and
+    its import path is the least that resolved to it.
+    """
     named = F.when(F.col("name") != "", F.struct("path", "name"))
-    return members.groupBy("pkg_key").agg(F.min(named).alias("n"), F.sort_array(F.collect_list("path")).alias("files")).select("pkg_key", F.col("n.name").alias("name"), "files")
+    out = members.groupBy("pkg_key").agg(F.min(named).alias("n"), F.sort_array(F.collect_list("path")).alias("files")).select("pkg_key", F.col("n.name").alias("name"), "files")
+    if imports is None:
+        return out.select("pkg_key", "name", F.lit(None).cast("string").alias("import_path"), "files", F.array().cast("array<string>").alias("imports"))
+    key = F.substring("target_id", len("package:") + 1, 1 << 20)
+    asked = imports.select(F.col("source_id").alias("path"), key.alias("to"), F.col("metadata")["import_path"].alias("spelled")).join(members.select("path", "pkg_key"), "path")
+    uses = asked.groupBy("pkg_key").agg(F.sort_array(F.collect_set("to")).alias("imports"))
+    spelled = asked.groupBy(F.col("to").alias("pkg_key")).agg(F.min("spelled").alias("import_path"))
+    both = out.join(uses, "pkg_key", "left").join(spelled, "pkg_key", "left")
+    return both.select("pkg_key", "name", "import_path", "files", F.coalesce("imports", F.array().cast("array<string>")).alias("imports"))
 
 
 def longest_suffix(imports: DataFrame, keys: DataFrame) -> DataFrame:
@@ -225,14 +238,21 @@ def references(entities: DataFrame, imported: DataFrame) -> DataFrame:
     bare = F.element_at(F.split("name", r"\."), -1)
     names = F.when(F.contains(F.col("name"), F.lit(".")), F.array("name", bare)).otherwise(F.array("name"))
     index = declared.select(F.explode(names).alias("name"), F.col("doc_path").alias("at"), F.col("ordinal").alias("nth"), F.col("entity_id").alias("target_id"))
+    # One row for each name and document, and one for each name: a common name is never paired with its declarations.
+    by_doc = index.groupBy("name", "at").agg(F.count("*").alias("n"), F.min(F.struct("nth", "target_id")).alias("least"))
+    place = F.struct("at", "least")
+    by_name = by_doc.groupBy("name").agg(F.sum("n").alias("all"), F.min(place).alias("first"))
+    others = by_doc.join(by_name.select("name", F.col("first.at").alias("skip")), "name").where("at <> skip").groupBy("name").agg(F.min(place).alias("second"))
+    by_name = by_name.join(others, "name", "left")
     asked = entities.where("type = 'reference'").select("doc_path", "ordinal", "entity_id", "name")
-    known = imported.select("doc_path", F.col("target").alias("at"), F.lit(True).alias("near")).distinct()
-    pairs = asked.join(index, "name").where("at <> doc_path").join(known, ["doc_path", "at"], "left")
-    place = F.struct("at", "nth")
-    picked = pairs.groupBy("doc_path", "ordinal", "entity_id").agg(
-        F.min_by(F.when(F.col("near"), F.col("target_id")), F.when(F.col("near"), place)).alias("near_id"), F.count("*").alias("n"), F.min_by("target_id", place).alias("any_id")
-    )
-    target = F.coalesce("near_id", F.when(F.col("n") == 1, F.col("any_id")))
+    mine = by_doc.select("name", F.col("at").alias("doc_path"), F.col("n").alias("n_own"))
+    seen = asked.join(by_name, "name").join(mine, ["name", "doc_path"], "left").withColumn("elsewhere", F.col("all") - F.coalesce("n_own", F.lit(0)))
+    only = F.when(F.col("first.at") == F.col("doc_path"), F.col("second")).otherwise(F.col("first"))
+    seen = seen.select("doc_path", "ordinal", "entity_id", "name", F.when(F.col("elsewhere") == 1, only["least"]["target_id"]).alias("only_id"))
+    known = imported.select("doc_path", F.col("target").alias("at")).distinct().where("doc_path <> at")
+    near = asked.join(known, "doc_path").join(by_doc, ["name", "at"]).groupBy("doc_path", "ordinal", "entity_id").agg(F.min(place).alias("near"))
+    picked = seen.join(near, ["doc_path", "ordinal", "entity_id"], "left")
+    target = F.coalesce(F.col("near")["least"]["target_id"], F.col("only_id"))
     return picked.where(target.isNotNull()).select(*_link(F.col("entity_id"), target, "references", 0.6, INFERRED, rule="global_reference_resolution"))
 
 
@@ -243,6 +263,8 @@ def cochange(commit_files: DataFrame) -> DataFrame:
     """
     low, high = COCHANGE_FILES
     each = commit_files.distinct()
-    sized = each.withColumn("n", F.count("*").over(Window.partitionBy("commit"))).where(f"n between {low} and {high}").drop("n")
+    # Counts first, so that a huge commit is never gathered.
+    sizes = each.groupBy("commit").agg(F.count("*").alias("n")).where(f"n between {low} and {high}").select("commit")
+    sized = each.join(sizes, "commit")
     pairs = sized.alias("x").join(sized.alias("y"), "commit").where("x.path < y.path").groupBy(F.col("x.path").alias("a"), F.col("y.path").alias("b")).agg(F.count("*").alias("n"))
     return pairs.select(*_link(F.col("a"), F.col("b"), "co_changed", F.least(F.round(F.lit(0.3) + F.lit(0.1) * F.col("n"), 6), F.lit(1.0)), INFERRED))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.functions.paths import owner
 from graphloom.operators import traverse, vectors
+from graphloom.plans.shared import materialize
 from graphloom.schema import DEFAULT_HOPS, DEFAULT_MIN_SCORE, MIN_TOP_K, SNIPPET_NOISE
 
 
@@ -17,7 +18,7 @@ def selected(
 ) -> DataFrame:
     """``(path, hop, score, is_entry)``: reachable documents that are near the query, entries always."""
     start = traverse.entry_documents(documents, entry)
-    frontier = traverse.reachable(start, links, documents, hops, source_type, exclude, package_files)
+    frontier = materialize(traverse.reachable(start, links, documents, hops, source_type, exclude, package_files), "frontier")
     k = max(2 * frontier.count(), MIN_TOP_K)
     near = vectors.top_k(node_vectors, query, k, min_score if min_score > 0 else DEFAULT_MIN_SCORE)
     best = near.groupBy(owner(F.col("node_id")).alias("path")).agg(F.max("score").alias("score"))

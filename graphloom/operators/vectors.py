@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.operators.rank import first_k
 from graphloom.schema import ALWAYS_SKIPPED, DOC_PAYLOAD_BYTES, ENTITY_PAYLOAD_BYTES, NOT_EMBEDDED
 
 
@@ -71,7 +72,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int, min_score: float | Non
     scored = vectors.select(id_column, F.round(cosine(F.col("embedding"), at), 6).alias("score"))
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
-    return scored.orderBy(F.desc("score"), id_column).limit(k)
+    return first_k(scored, "score", k, id_column)
 
 
 def check_dimensions(vectors: DataFrame, dimensions: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from graphloom.schema import CHECK_TTL_SECONDS
 
 
-def _accept(times: pd.Series, last: pd.Timestamp | None, seconds: float) -> tuple[list[bool], pd.Timestamp | None]:
+def _accept(times, last: pd.Timestamp | None, seconds: float) -> tuple[list[bool], pd.Timestamp | None]:
     gap, out = pd.Timedelta(seconds=seconds), []
     for t in times:
         ok = last is None or t >= last + gap
@@ -25,15 +25,34 @@ def _accept(times: pd.Series, last: pd.Timestamp | None, seconds: float) -> tupl
 def accepted(checks: DataFrame, key: str, time: str, tie: str, seconds: float = CHECK_TTL_SECONDS) -> DataFrame:
     """``checks`` with ``accepted``: at least ``seconds`` after the key's last accepted one.
 
-    Which checks count depends on all before them, so each key is gone through in order.
+    Which checks count depends on all before them, so each key is gone through in order; one
+    time is kept, whatever the number of a key's checks.
     """
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, tie], kind="stable")
-        return part.assign(accepted=_accept(part[time], None, seconds)[0])
+    names = checks.columns
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = object(), None
+        for part in parts:
+            ok = []
+            for k, t in zip(part[key].where(part[key].notna(), None), part[time]):
+                if k != now:
+                    now, last = k, None
+                (one,), last = _accept([t], last, seconds)
+                ok.append(one)
+            yield part[names].assign(accepted=ok)
 
     fields = T.StructType([*checks.schema.fields, T.StructField("accepted", T.BooleanType())])
-    return checks.groupBy(key).applyInPandas(one, fields)
+    return checks.repartition(key).sortWithinPartitions(key, time, tie).mapInPandas(run, fields)
+
+
+def rebuilds(triggers: DataFrame, key: str, time: str, tie: str, seconds: float) -> DataFrame:
+    """``(key, started, n)``: rebuilds that begin a fixed delay after their first trigger.
+
+    Later triggers until then, ``n`` with the first, are swallowed; they do not put it off.
+    """
+    # Rows of a key are in order already, so the window adds no exchange.
+    start = F.last(F.when(F.col("accepted"), F.col(time)), ignorenulls=True).over(Window.partitionBy(key).orderBy(time, tie))
+    return accepted(triggers, key, time, tie, seconds).withColumn("started", start).groupBy(key, "started").agg(F.count("*").alias("n"))
 
 
 def accepted_stream(checks: DataFrame, key: str, time: str, seconds: float = CHECK_TTL_SECONDS) -> DataFrame:
@@ -67,7 +86,5 @@ def rebuild_on_change(changes: DataFrame, rebuild: Callable[[DataFrame, int], No
 
 def changed(fingerprints: DataFrame, key: str, order: str, fingerprint: str) -> DataFrame:
     """Rows whose fingerprint differs from the one before it."""
-    from pyspark.sql import Window
-
     was = F.lag(fingerprint).over(Window.partitionBy(key).orderBy(order))
     return fingerprints.withColumn("changed", F.coalesce(F.col(fingerprint) != was, F.lit(True))).where("changed").drop("changed")
