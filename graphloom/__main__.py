@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from graphloom import config
 from graphloom.api import GraphApi
 from graphloom.build import BuildOptions, Graph, build
 from graphloom.plans import report
@@ -16,11 +17,15 @@ from graphloom.sources import snapshot
 
 
 def _load(spark, path: str) -> Graph:
-    """A graph from a snapshot; contents are not part of one."""
+    """A graph from a snapshot, with its contents and vectors where it has them."""
     t = snapshot.read(spark, path)
     files = t["packages"].select("pkg_key", F.explode("files").alias("path"))
-    none = spark.createDataFrame([], "path string, content string")
-    return Graph(t["documents"], t["entities"], t["links"], files, t["packages"], t["clusters"], t["metrics"], none)
+    contents = t.get("contents")
+    if contents is None:
+        contents = spark.createDataFrame([], "path string, content string")
+    graph = Graph(t["documents"], t["entities"], t["links"], files, t["packages"], t["clusters"], t["metrics"], contents, t.get("vectors"))
+    graph.built_at = t["snapshot"].first()["built_at"] if "snapshot" in t else None
+    return graph
 
 
 def _rows(df) -> list[dict]:
@@ -73,6 +78,8 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("--changed-only", action="store_true")
     b.add_argument("--no-git", action="store_true")
     b.add_argument("--git-limit", type=int, default=50)
+    b.add_argument("--embed", action="store_true")
+    b.add_argument("--dimensions", type=int)
     for name in ("metrics", "clusters", "visualize", "serve"):
         s = sub.add_parser(name)
         s.add_argument("--file", default="graph")
@@ -87,11 +94,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
     if a.command == "build":
         source = a.source.removesuffix("/...") or "."
-        g = build(spark, BuildOptions(source, a.output, a.exclude, a.ignore_file, a.changed_only, not a.no_git, a.git_limit))
+        g = build(spark, BuildOptions(source, a.output, a.exclude, a.ignore_file, a.changed_only, not a.no_git, a.git_limit, a.embed, config.resolve({"dimensions": a.dimensions}, source).dimensions))
         print(f"{g.documents.count()} documents, {g.entities.count()} entities, {g.links.count()} links")
         return 0
     graph = _load(spark, a.file)
-    api = GraphApi(graph)
+    api = GraphApi(graph, graph.built_at)
     if a.command == "metrics":
         for r in api.graph_metrics(a.limit).collect():
             print(f"{'*' if r['is_hub'] else ' '} {r['path']}\t{r['degree']}\t{r['weighted_degree']:g}\t{r['pagerank']:.6f}")

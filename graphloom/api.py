@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.build import Graph
 from graphloom.functions import text as X
 from graphloom.functions.paths import owner
-from graphloom.operators import narrow, rank, vectors
-from graphloom.schema import DEFAULT_HOPS, DEFAULT_MIN_SCORE, LIST_PREVIEW
+from graphloom.operators import narrow, rank, traverse, vectors
+from graphloom.schema import DEFAULT_HOPS, DEFAULT_MIN_SCORE, DIMENSIONS, LIST_PREVIEW
 
 
 class GraphApi:
@@ -63,7 +63,13 @@ class GraphApi:
     ) -> DataFrame:
         """Snippets of what is near an entry and a query: ``path, nth, snippet, tokens``."""
         g = self.graph
-        at = [float(x) for x in (embedder or vectors.hashing_embedder())([query])[0]]
+        if g.vectors is None:
+            raise ValueError("the graph has no vectors: build it with embeddings")
+        if traverse.entry_documents(g.documents, entry).isEmpty():
+            raise ValueError(f"no document or directory is called {entry!r}")
+        size = g.vectors.select(F.size("embedding")).first()
+        embedder = embedder or vectors.hashing_embedder(size[0] if size else DIMENSIONS)
+        at = [float(x) for x in embedder([query])[0]]
         chosen = narrow.selected(g.documents, g.links, g.vectors, entry, at, max_hops, min_score, source_type, list(exclude), g.package_files)
         near = g.vectors.select("node_id", vectors.cosine(F.col("embedding"), F.array(*map(F.lit, at))).alias("score"))
         parts = narrow.snippets(g.entities, g.contents, near)

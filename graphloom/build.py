@@ -43,6 +43,7 @@ class Graph:
     metrics: DataFrame
     contents: DataFrame
     vectors: DataFrame | None = None
+    built_at: object | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         """What a snapshot holds."""
@@ -50,19 +51,20 @@ class Graph:
         built = spark.range(1).select(F.lit(snapshot.SCHEMA_VERSION).alias("schema_version"), F.current_timestamp().alias("built_at"))
         hubs = self.metrics.agg(F.count_if("is_hub").alias("hub_count"))
         named = ("documents", "entities", "links", "packages", "clusters", "metrics")
-        return {n: getattr(self, n) for n in named} | {"snapshot": built.join(hubs, F.lit(True))}
+        return {n: getattr(self, n) for n in named} | {"snapshot": built.join(hubs, F.lit(True)), "contents": self.contents} | ({"vectors": self.vectors} if self.vectors is not None else {})
 
 
 def analyze(documents: DataFrame, entities: DataFrame, parsed: DataFrame, contents: DataFrame, commit_files: DataFrame | None = None) -> Graph:
     """All passes over extracted tables."""
     members = materialize(links.package_of(documents, entities), "members")
     imported = materialize(links.file_imports(documents, entities), "imports")
+    of_packages = materialize(links.package_imports(entities, members), "package_imports")
     core = [
         links.implements(entities),
         links.documented_by_path(documents, entities),
         links.normalized(parsed),
         links.part_of(members),
-        links.package_imports(entities, members),
+        of_packages,
         imported,
         links.references(entities, imported.select(F.col("source_id").alias("doc_path"), F.col("target_id").alias("target"))),
     ]
@@ -79,7 +81,18 @@ def analyze(documents: DataFrame, entities: DataFrame, parsed: DataFrame, conten
     if commit_files is not None:
         present = commit_files.join(documents.select("path"), "path", "left_semi")
         all_links = materialize(all_links.unionByName(links.cochange(present.select("commit", "path"))), "links")
-    return Graph(documents, entities, all_links, files, links.packages(members), materialize(cluster.clusters(grouped), "clusters"), metrics, contents)
+    return Graph(documents, entities, all_links, files, links.packages(members, of_packages), materialize(cluster.clusters(grouped), "clusters"), metrics, contents)
+
+
+def _stored_vectors(spark: SparkSession, options: BuildOptions) -> DataFrame | None:
+    """Vectors of the last snapshot, where it has some of the length that is asked for."""
+    if not options.output or options.output.endswith(".json"):
+        return None
+    try:
+        stored = snapshot.read(spark, options.output).get("vectors")
+    except Exception:  # no snapshot yet
+        return None
+    return None if stored is None else stored.where(F.size("embedding") == options.dimensions)
 
 
 def build(spark: SparkSession, options: BuildOptions) -> Graph:
@@ -124,10 +137,12 @@ def build(spark: SparkSession, options: BuildOptions) -> Graph:
     graph = analyze(materialize(documents, "documents"), materialize(entities, "entities"), parsed, contents, commit_files)
     if options.embed:
         payloads = vectors.document_payloads(graph.documents, contents).unionByName(vectors.entity_payloads(graph.entities, contents))
-        graph.vectors = vectors.check_dimensions(vectors.embed(payloads, options.embedder or vectors.hashing_embedder(options.dimensions)), options.dimensions)
+        embedder, stored = options.embedder or vectors.hashing_embedder(options.dimensions), _stored_vectors(spark, options)
+        made = vectors.embed(payloads, embedder) if stored is None else vectors.upkeep(stored, payloads, embedder)
+        graph.vectors = vectors.check_dimensions(made, options.dimensions)
     if options.output:
         if options.output.endswith(".json"):
-            snapshot.to_json(graph.tables(), options.output)
+            snapshot.to_json({k: v for k, v in graph.tables().items() if k not in ("contents", "vectors")}, options.output)
         else:
             snapshot.write(graph.tables(), options.output)
     return graph

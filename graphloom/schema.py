@@ -31,6 +31,7 @@ DAMPING, PAGERANK_ROUNDS, PAGERANK_TOLERANCE = 0.85, 100, 1e-9
 COCHANGE_FILES = (2, 20)
 COMMIT_LIMIT, COMMIT_FILES = 50, 50
 DEFAULT_HOPS, DEFAULT_MIN_SCORE, MIN_TOP_K = 1, 0.65, 20
+DIMENSIONS = 384
 DOC_PAYLOAD_BYTES, ENTITY_PAYLOAD_BYTES = 256, 200
 CHECK_TTL_SECONDS, REBUILD_DELAY_SECONDS = 2, 2
 REPORT_TOP, REPORT_PREVIEW, LIST_PREVIEW = 25, 8, 3

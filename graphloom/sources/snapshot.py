@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.schema import EXTRACTED
 
 SCHEMA_VERSION = 1
-TABLES = ("documents", "entities", "links", "packages", "clusters", "metrics", "snapshot")
+TABLES = ("documents", "entities", "links", "packages", "clusters", "metrics", "snapshot", "contents", "vectors")
 
 
 def merge(old: DataFrame, fresh: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -54,7 +54,7 @@ def read(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def to_json(tables: dict[str, DataFrame], path: str) -> None:
     """One indented JSON document; for graphs that fit one file, since it is built on the driver."""
-    rows = {name: [json.loads(r) for r in df.toJSON().collect()] for name, df in tables.items() if name != "snapshot"}
+    rows = {name: [json.loads(r) for r in df.toJSON().collect()] for name, df in tables.items() if name not in ("snapshot", "contents", "vectors")}
     documents = {d["path"]: d | {"entities": []} for d in rows.get("documents", [])}
     for e in sorted(rows.get("entities", []), key=lambda e: (e["doc_path"], e["ordinal"])):
         documents[e["doc_path"]]["entities"].append({k: v for k, v in e.items() if k != "doc_path"})
