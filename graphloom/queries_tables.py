@@ -101,9 +101,9 @@ def _implements(structs: DataFrame, faces: DataFrame) -> DataFrame:
 
 ORACLE_SQL["implements_suffix"] = """WITH e AS (SELECT 'part#' || p_partkey AS entity_id, 'struct' AS type, p_name AS name FROM part
   UNION ALL SELECT DISTINCT 'iface#' || split_part(p_name, ' ', -1), 'interface', split_part(p_name, ' ', -1) FROM part),
-  r AS (SELECT name, min({'id': entity_id, 'type': type}) AS m FROM e GROUP BY name)
-  SELECT e.entity_id AS source_id, r.m.id AS target_id, 'implements' AS type, 0.8::DOUBLE AS weight, 'inferred' AS source_type
-  FROM e JOIN r ON suffix(e.name, r.name) WHERE e.type = 'struct' AND r.m.type = 'interface'"""
+  r AS (SELECT name, min(entity_id) AS id FROM e WHERE type = 'interface' GROUP BY name)
+  SELECT e.entity_id AS source_id, r.id AS target_id, 'implements' AS type, 0.8::DOUBLE AS weight, 'inferred' AS source_type
+  FROM e JOIN r ON suffix(e.name, r.name) WHERE e.type = 'struct'"""
 
 
 @query("""WITH n AS (SELECT name, min(id) AS id FROM (SELECT lang AS name, 'lang#' || lang AS id FROM documents UNION ALL SELECT source, 'source#' || source FROM documents) GROUP BY name)
@@ -353,18 +353,23 @@ def payload_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors of an older state and payloads of the present one: some changed, some new, some gone."""
-    docs = T.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("node_id"), "text")
-    old = docs.where("doc_id % 11 <> 0").select("node_id", X.payload_hash(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("payload_hash"))
-    new = docs.where("doc_id % 13 <> 0").select("node_id", X.payload_hash(F.col("text")).alias("payload_hash"))
-    return old, new
+    """Vectors of an older state, which are those of labelled documents, and payloads of all documents and labels.
+
+    Documents of low quality had another text then; labels without a document are gone.
+    """
+    docs, labels = T.table(spark, d, "documents"), T.table(spark, d, "labels")
+    was = F.when(F.col("quality") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    old = labels.join(docs, "doc_id").select(F.col("doc_id").cast("string").alias("node_id"), X.payload_hash(was).alias("payload_hash"))
+    gone = docs.select(F.concat(F.lit("old-"), F.col("source")).alias("node_id"), F.col("source")).distinct().select("node_id", X.payload_hash(F.col("source")).alias("payload_hash"))
+    return old.unionByName(gone), docs.select(F.col("doc_id").cast("string").alias("node_id"), X.payload_hash(F.col("text")).alias("payload_hash"))
 
 
-_VERSIONS = """o AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0),
-  n AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 13 <> 0)"""
+_VERSIONS = """o AS (SELECT doc_id::VARCHAR AS doc_id, sha256(CASE WHEN quality = 0 THEN text || '!' ELSE text END) AS h FROM labels JOIN documents USING (doc_id)
+    UNION ALL SELECT DISTINCT 'old-' || source, sha256(source) FROM documents),
+  n AS (SELECT doc_id::VARCHAR AS doc_id, sha256(text) AS h FROM documents)"""
 
 
-@query(f"WITH {_VERSIONS} SELECT n.doc_id::VARCHAR AS node_id, n.h AS payload_hash FROM n LEFT JOIN o ON o.doc_id = n.doc_id AND o.h = n.h WHERE o.h IS NULL")
+@query(f"WITH {_VERSIONS} SELECT n.doc_id AS node_id, n.h AS payload_hash FROM n LEFT JOIN o ON o.doc_id = n.doc_id AND o.h = n.h WHERE o.h IS NULL")
 def incremental_dirty(spark: SparkSession, d: str) -> DataFrame:
     old, new = _versions(spark, d)
     return vectors.dirty(new, old)
@@ -396,16 +401,16 @@ def grep_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{2,}')) AS w FROM benchmark)
-  SELECT item_id, len(list_filter(w, lambda x: x NOT IN ('the','and','for','with','what','how','does','are','from','into','that','this','which','where','when','who','why','use','used','uses','using','show','find','list','get','all','any','can','has','have','was','were','will','would','should','could','about','between','kg')))::BIGINT AS n_keywords FROM b""")
+  SELECT item_id, len(list_filter(w, lambda x: x NOT IN ('the','and','for','are','how','what','which','when','where','who','that','this','with','from','into','onto','than','then','them','does','dont','cant','have','has','was','were','been','being','also','not','but','all','any','can','you','its','it''s','our','your','their','will','would','could','should','used','use','get')))::BIGINT AS n_keywords FROM b""")
 def keyword_counts(spark: SparkSession, d: str) -> DataFrame:
     items = T.table(spark, d, "benchmark")
     return items.select("item_id", F.size(X.keywords(F.col("text"))).cast("bigint").alias("n_keywords"))
 
 
-@query("""WITH f AS (SELECT source, list(DISTINCT lang) AS langs FROM documents WHERE n_chars > 2000 GROUP BY source)
+@query("""WITH f AS (SELECT source, list(DISTINCT lang) AS langs FROM documents GROUP BY source)
   SELECT source, (len(list_filter(['de', 'en', 'es', 'fr'], lambda x: list_contains(langs, x))) / 4.0)::DOUBLE AS recall FROM f""")
 def mean_recall(spark: SparkSession, d: str) -> DataFrame:
-    found = T.table(spark, d, "documents").where("n_chars > 2000").groupBy("source").agg(F.collect_set("lang").alias("langs"))
+    found = T.table(spark, d, "documents").groupBy("source").agg(F.collect_set("lang").alias("langs"))
     return found.select("source", X.recall(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("langs")).alias("recall"))
 
 
@@ -454,7 +459,7 @@ def line_slices(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH e AS (SELECT date_trunc('day', ts) AS day, user_id, event_id, value FROM events),
   new AS (SELECT user_id, arg_max(value, (day, event_id)) AS value FROM e WHERE day >= TIMESTAMP '2024-01-16' GROUP BY user_id),
   old AS (SELECT user_id, arg_max(value, (day, event_id)) AS value FROM e WHERE day < TIMESTAMP '2024-01-16' GROUP BY user_id)
-  SELECT user_id, value, 'new' AS kept FROM new UNION ALL SELECT user_id, value, 'old' FROM old WHERE user_id NOT IN (SELECT user_id FROM new) AND user_id % 5 <> 0""")
+  SELECT user_id, value, 'new' AS kept FROM new UNION ALL SELECT user_id, value, 'old' FROM old WHERE user_id NOT IN (SELECT user_id FROM new) AND user_id IN (SELECT c_custkey FROM customer)""")
 def snapshot_merge(spark: SparkSession, d: str) -> DataFrame:
     """A fresh snapshot over an old one: fresh rows win, old ones stay where they still exist."""
     from graphloom.sources.snapshot import merge
@@ -462,17 +467,19 @@ def snapshot_merge(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "events").select(F.date_trunc("day", "ts").alias("day"), "user_id", "event_id", "value")
     state = lambda rows: rows.groupBy("user_id").agg(F.max_by("value", F.struct("day", "event_id")).alias("value"))
     cut = F.lit("2024-01-16").cast("timestamp")
-    existing = e.select("user_id").distinct().where("user_id % 5 <> 0")
+    existing = T.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
     return merge(state(e.where(F.col("day") < cut)).withColumn("kept", F.lit("old")), state(e.where(F.col("day") >= cut)).withColumn("kept", F.lit("new")), existing, "user_id")
 
 
-@query("""WITH t AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
-  s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM t)
-  SELECT user_id, min(ts) AS started, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+  w AS (SELECT user_id, rn, ts AS started FROM e WHERE rn = 1
+        UNION ALL SELECT e.user_id, e.rn, CASE WHEN e.ts >= w.started + INTERVAL 1 HOUR THEN e.ts ELSE w.started END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+  SELECT user_id, started, count(*)::BIGINT AS n FROM w GROUP BY user_id, started""")
 def debounce_session(spark: SparkSession, d: str) -> DataFrame:
-    """Triggers of a user without a pause of an hour are one rebuild."""
-    w = T.table(spark, d, "events").groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return w.select("user_id", F.col("w.start").alias("started"), "n")
+    """A trigger starts a rebuild after a fixed delay; those until then are swallowed by it."""
+    from graphloom.streaming.refresh import rebuilds
+
+    return rebuilds(T.table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 3600).select("user_id", "started", "n")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
@@ -487,11 +494,58 @@ def ttl_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return accepted(e, "user_id", "ts", "event_id", 6 * 3600).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"))
 
 
-@query("""WITH f AS (SELECT date_trunc('day', ts) AS day, user_id, substr(sha256(string_agg(event_type || ' ' || event_id, chr(10) ORDER BY event_type || ' ' || event_id)), 1, 16) AS fp FROM events WHERE event_type <> 'view' GROUP BY ALL),
+@query("""WITH f AS (SELECT date_trunc('day', ts) AS day, user_id, substr(sha256(string_agg(event_type || ' ' || event_id, chr(10) ORDER BY event_type || ' ' || event_id)), 1, 16) AS fp FROM events GROUP BY ALL),
   l AS (SELECT *, lag(fp) OVER (PARTITION BY user_id ORDER BY day) AS was FROM f) SELECT user_id, day, fp, coalesce(fp <> was, true) AS changed FROM l""")
 def fingerprint_change(spark: SparkSession, d: str) -> DataFrame:
     """Daily fingerprints of a user's events, and whether they changed."""
-    e = T.table(spark, d, "events").where("event_type <> 'view'").select(F.date_trunc("day", "ts").alias("day"), "user_id", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("line"))
+    e = T.table(spark, d, "events").select(F.date_trunc("day", "ts").alias("day"), "user_id", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("line"))
     fp = e.groupBy("day", "user_id").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256), 1, 16).alias("fp"))
     was = F.lag("fp").over(Window.partitionBy("user_id").orderBy("day"))
     return fp.withColumn("changed", F.coalesce(F.col("fp") != was, F.lit(True)))
+
+
+@query(f"""WITH {_SUPPLY}, m AS (SELECT nodes.*, 'org/region/' || r_name || '/nation/' || nation.n_name AS spelled, 'region/' || r_name || '/nation/' || nation.n_name AS target
+    FROM nodes JOIN nation ON n_nationkey = s_suppkey % 25 JOIN region ON n_regionkey = r_regionkey),
+  k AS (SELECT DISTINCT pkg_key FROM nodes), l AS (SELECT path, m.pkg_key, target, spelled FROM m JOIN k ON target = k.pkg_key WHERE target <> m.pkg_key)
+  SELECT path AS source_id, 'package:' || target AS target_id, 0.8::DOUBLE AS weight, spelled AS import_path FROM l""")
+def package_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier imports a nation's package by a longer path; its own package and unknown ones give no link."""
+    found = links.package_imports(*_imported(spark, d), formats=("supplier",))
+    return found.select("source_id", "target_id", "weight", F.col("metadata")["import_path"].alias("import_path"))
+
+
+def _imported(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    members = T.supplier_nodes(spark, d)
+    places = T.table(spark, d, "nation").join(T.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    spelled = places.select("n_nationkey", F.concat(F.lit("org/region/"), "r_name", F.lit("/nation/"), "n_name").alias("name"))
+    entities = members.join(spelled.withColumnRenamed("name", "asked"), F.col("s_suppkey") % 25 == F.col("n_nationkey")).select(F.col("path").alias("doc_path"), F.lit("import").alias("type"), F.col("asked").alias("name"))
+    return entities, members
+
+
+@query(f"""WITH {_SUPPLY}, m AS (SELECT nodes.*, 'org/region/' || r_name || '/nation/' || nation.n_name AS spelled, 'region/' || r_name || '/nation/' || nation.n_name AS target
+    FROM nodes JOIN nation ON n_nationkey = s_suppkey % 25 JOIN region ON n_regionkey = r_regionkey),
+  k AS (SELECT DISTINCT pkg_key FROM nodes), l AS (SELECT DISTINCT m.pkg_key, target, spelled FROM m JOIN k ON target = k.pkg_key WHERE target <> m.pkg_key),
+  i AS (SELECT pkg_key, string_agg(target, ',' ORDER BY target) AS imports FROM (SELECT DISTINCT pkg_key, target FROM l) GROUP BY pkg_key), s AS (SELECT target, min(spelled) AS spelled FROM l GROUP BY target)
+  SELECT k.pkg_key, coalesce(imports, '') AS imports, spelled AS import_path FROM k LEFT JOIN i USING (pkg_key) LEFT JOIN s ON target = k.pkg_key""")
+def package_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Packages with what they import and how they are imported."""
+    entities, members = _imported(spark, d)
+    found = links.packages(members, links.package_imports(entities, members, formats=("supplier",)))
+    return found.select("pkg_key", F.array_join("imports", ",").alias("imports"), "import_path")
+
+
+@query("""WITH t AS (SELECT item_id, (len(text) // 4)::BIGINT AS tokens FROM benchmark),
+  r AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, lead(true) OVER (ORDER BY item_id) AS more FROM t)
+  SELECT item_id, tokens, coalesce(more, false) AND before + tokens >= 800 AS truncated FROM r WHERE before < 800""")
+def files_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Whole files up to the one that reaches a budget of tokens."""
+    items = T.table(spark, d, "benchmark").select("item_id", F.col("text").alias("content"))
+    return narrow.files_within_budget(items, 800, ["item_id"]).select("item_id", "tokens", "truncated")
+
+
+@query("""WITH e AS (SELECT event_type, count(*) AS baseline, count(DISTINCT user_id) AS used FROM events GROUP BY event_type)
+  SELECT round(avg(1 - used / baseline), 6) AS mean_reduction, round((list_sort(list(1 - used / baseline))[len(list(1)) // 2 + 1])::DOUBLE, 6) AS upper_median, count(*)::BIGINT AS n FROM e""")
+def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and upper median of how much less is read than with a baseline."""
+    each = T.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("baseline"), F.countDistinct("user_id").alias("used"))
+    return X.retrieval_summary(each.select(X.reduction(F.col("used"), F.col("baseline")).alias("reduction")), "reduction")
