@@ -40,31 +40,38 @@ def _apply(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= cut, _apply(left, x), _apply(right, x))
 
 
+#: Width of the bins of scores from which the threshold is calibrated, and how many there are on either side of 0.
+BIN, BINS = 1 / 64, 1024
+
+
 class Boosted:
-    """Logistic boosting; ``cut`` is the score from which spans are selected."""
+    """Logistic boosting; ``cut`` is the score from which spans are selected, infinite until it is calibrated."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3, precision: float = 0.9):
-        """Even rows fit the trees, odd rows calibrate: ``cut`` is the lowest score above which
-        ``precision`` of the odd rows are positive, and infinite where there is none."""
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3):
         self.trees, self.start, self.cut = [], 0.0, float("inf")
-        fit = np.arange(len(y)) % 2 == 0
-        if len(y) < 40 or not 0 < y[fit].mean() < 1:
+        if len(y) < 20 or not 0 < y.mean() < 1:
             return
-        xf, yf = x[fit], y[fit].astype(float)
-        self.start = float(np.log(yf.mean() / (1 - yf.mean())))
-        score = np.full(len(yf), self.start)
+        y = y.astype(float)
+        self.start = float(np.log(y.mean() / (1 - y.mean())))
+        score = np.full(len(y), self.start)
         for _ in range(rounds):
             p = _sigmoid(score)
-            tree = _grow(xf, yf - p, p * (1 - p), np.arange(len(yf)), depth, rate)
+            tree = _grow(x, y - p, p * (1 - p), np.arange(len(y)), depth, rate)
             self.trees.append(tree)
-            score += _apply(tree, xf)
-        held, truth = self.score(x[~fit]), y[~fit]
-        order = np.argsort(-held, kind="stable")
-        right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-        last = np.append(held[order][1:] != held[order][:-1], True)
-        good = np.flatnonzero((right >= precision) & last)
-        if len(good):
-            self.cut = float(held[order][good[-1]])
+            score += _apply(tree, x)
+
+    def bin(self, features: Column) -> Column:
+        """The bin of the score of an array column of features."""
+        return F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(self.column(features) / BIN))).cast("int")
+
+    def calibrate(self, bins: dict[int, tuple[int, int]], precision: float = 0.9) -> None:
+        """From how many candidates each bin has, and how many of these are positive: ``cut`` becomes
+        the lowest score above which ``precision`` of them are."""
+        n = right = 0
+        for at in sorted(bins, reverse=True):
+            n, right = n + bins[at][0], right + bins[at][1]
+            if right >= precision * n:
+                self.cut = at * BIN
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.start + sum((_apply(t, x) for t in self.trees), np.zeros(len(x)))

@@ -5,9 +5,9 @@ and wide ones, numbers in any punctuation, telephone numbers without a country,
 spelled-out addresses.  A wide candidate that
 overlaps a base span is a positive example and any other an unlabelled one; boosted trees
 learn from format and context, without the marks that define the base kinds, which
-candidates look like personal data.  The score from which candidates are selected is
-calibrated for precision on examples that the trees did not see.  Base spans are always
-kept.
+candidates look like personal data.  They are fitted on a bounded sample of one half of the
+distinct candidates; the score from which candidates are selected is calibrated for precision
+by counts, in bins of the score, of the whole other half.  Base spans are always kept.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm._boost import Boosted
 from graphloom.llm._spans import joined, let, matches
-from graphloom.plans.shared import materialize
+from graphloom.plans.shared import materialize, release
 
 #: Patterns that find what the plain forms find, without going back over long runs.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -27,12 +27,12 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NUMBER = r"[(]?[0-9](?:[\x20().,:/-]{0,2}[0-9]){6,}+"
 LOCAL = r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-]\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-SPELLED = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({<]\x20?(?:at|AT|@)\x20?[\])}>]\x20?[A-Za-z0-9-]+(?:(?:\x20?[\[({<]\x20?(?:dot|DOT|\.)\x20?[\])}>]\x20?|\.)[A-Za-z0-9-]+)+"
+SPELLED = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[({<]\x20?(?:at|AT|@)\x20?[\])}>]\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[({<]\x20?(?:dot|DOT|\.)\x20?[\])}>]\x20?|\.)[A-Za-z0-9-]++)++"
 SPELLED_MARK = r"[\[({<]\x20?(?:at|AT|@)\x20?[\])}>]"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 KINDS = ("email", "ip", "card", "phone", "number", "local", "spelled")
 CONTEXT = 24
-#: Candidates on which the trees are fitted and calibrated: a bounded sample by hash.
+#: Candidates on which the trees are fitted: a bounded sample by hash.
 SAMPLE = 4000
 FEATURES = "array<int>"
 
@@ -85,12 +85,12 @@ def base_spans(text: Column) -> Column:
 
 
 def wide_spans(text: Column) -> Column:
-    """``array<struct<rank, start, end, kind, features>>`` of the generators."""
+    """``array<struct<rank, start, end, kind, features, seen>>`` of the generators; ``seen`` hashes value and context."""
 
     def spans(kind: str, pattern: str, mark: str) -> Column:
         return F.transform(
             matches(text, pattern, F.rlike(text, F.lit(mark)), context=CONTEXT),
-            lambda s: F.struct(F.lit(KINDS.index(kind)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), _features(s).alias("features")),
+            lambda s: F.struct(F.lit(KINDS.index(kind)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), _features(s).alias("features"), F.xxhash64(s["value"], s["before"], s["after"]).alias("seen")),
         )
 
     return F.concat(spans("number", NUMBER, NUMBER), spans("local", LOCAL, LOCAL), spans("spelled", SPELLED, SPELLED_MARK))
@@ -101,22 +101,30 @@ def _candidates(docs: DataFrame, *extra: Column) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *extra, base_spans(text).alias("base"), wide_spans(text).alias("wide"))
     touches = lambda w: F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
     labelled = F.transform("wide", lambda w: w.withField("known", touches(w)))
-    return found.withColumn("wide", F.when(F.size("wide") > 0, labelled).otherwise(F.array().cast("array<struct<rank:int,start:bigint,end:bigint,kind:string,features:array<int>,known:boolean>>")))
+    return found.withColumn("wide", F.when(F.size("wide") > 0, labelled).otherwise(F.array().cast("array<struct<rank:int,start:bigint,end:bigint,kind:string,features:array<int>,seen:bigint,known:boolean>>")))
 
 
 def fit(candidates: DataFrame, sample: int = SAMPLE) -> Boosted:
-    """Trees fitted on at most ``sample`` wide candidates, chosen by hash; fewer than 40 select nothing."""
-    each = candidates.where(F.size("wide") > 0).select("doc_id", F.explode("wide").alias("w"))
-    n = candidates.agg(F.sum(F.size("wide"))).first()[0] or 0
-    rows = each.select(F.col("w.features").alias("x"), F.col("w.known").alias("y"), F.xxhash64("doc_id", "w.start", "w.end", "w.features").alias("h"))
+    """Trees fitted on at most ``sample`` distinct candidates, calibrated on all that are not of their half.
+
+    Copies of a candidate and its context count once, so that no source or group of copies
+    fills the sample.  Fewer than 20 candidates to fit on select nothing.
+    """
+    each = candidates.where(F.size("wide") > 0).select(F.explode("wide").alias("w"))
+    each = materialize(each.groupBy(F.col("w.seen").alias("seen"), F.col("w.known").alias("y")).agg(F.first("w.features").alias("x")), "candidates")
+    mine = F.pmod(F.xxhash64("seen"), F.lit(2)) == 0
+    order = F.pmod(F.xxhash64("seen", F.lit(1)), F.lit(1 << 20))
+    rows, n = each.where(mine), each.where(mine).count()
     # A hash under a bound first, so that no task sends many rows for the driver to choose from.
     if n > 4 * sample:
-        rows = rows.where(F.pmod("h", F.lit(1 << 20)) < F.lit(max(1, (2 * sample << 20) // n)))
-    got = rows.orderBy(F.pmod("h", F.lit(1 << 20)), "h", F.col("y"), F.col("x")).limit(sample).collect()
-    if not got:
-        return Boosted(np.empty((0, 1)), np.empty(0, dtype=int))
-    x = np.array([r["x"] for r in got], dtype=float)
-    return Boosted(x, np.array([r["y"] for r in got], dtype=int))
+        rows = rows.where(order < F.lit(max(1, (2 * sample << 20) // n)))
+    got = rows.orderBy(order, "seen", "y").limit(sample).select("x", "y").collect()
+    model = Boosted(np.array([r["x"] for r in got], dtype=float), np.array([r["y"] for r in got], dtype=int))
+    if model.trees:
+        counts = each.where(~mine).groupBy(model.bin(F.col("x")).alias("bin")).agg(F.count("*").alias("n"), F.count_if("y").alias("right"))
+        model.calibrate({r["bin"]: (r["n"], r["right"]) for r in counts.collect()})
+    release(each)
+    return model
 
 
 def selected(docs: DataFrame, sample: int = SAMPLE, *extra: Column) -> DataFrame:
