@@ -16,6 +16,14 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it where a column is called so."""
+    taken = {c.lower() for c in taken}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def _total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: a + x)
 

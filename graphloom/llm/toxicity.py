@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
-Voters look at a document's words: a lexicon of insults, lexicons of words and word
+Voters look at a document's words: a lexicon of insults, lexicons of words and of word
 beginnings induced from labelled rows (each applied to rows that did not shape it), and
-patterns of shouting.  A generative model takes the true class as hidden and the votes, the
-noisy label among them, as made from it; it estimates each voter's accuracy and the
-correlations between voters, by which votes that repeat each other are discounted.  A
-linear classifier on hashed words and word beginnings is trained on the model's posterior
-classes and scores every document.
+patterns of capitals and exclamation marks.  A generative model takes the true class as
+hidden and the votes, the noisy label among them, as made from it: each voter's votes
+depend on the class and, where voters are correlated within the classes, on the vote of one
+other, along the tree that explains most of the correlation.  Accuracies, correlations and
+the posterior class of each row are estimated together.  A linear classifier on hashed words and word beginnings is trained on the model's posterior
+classes and scores every document; the score of 0.5 stands where, on rows that were not
+fitted on, calling documents toxic agrees best with their labels.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import _tokens
+from graphloom.llm._spans import free_name
 
 #: Labelled rows on which lexicons, label model and classifier are fitted: a bounded sample by hash.
 TRAIN_ROWS = 8000
-#: Features that the classifier keeps.
-FEATURES = 4096
+#: Features that the classifier keeps, and that one labelled row is learned from at most (the least hashes).
+FEATURES, ROW_FEATURES = 4096, 4096
 PREFIXES = (4, 5, 6, 7)
 #: Common insults in English.
 INSULTS = (
@@ -44,18 +47,20 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
     doc = np.searchsorted(at, start, side="right") - 1
     rolling = _tokens.Rolling(_tokens._SYMBOL[_tokens._LOWER[raw]])
-    docs, marks = [doc], [rolling.of(start, end)]
+    # Half of a hash tells features apart well enough, and takes half the driver's memory.
+    half = lambda x: (x >> np.uint64(32)).astype(np.uint32)
+    docs, marks = [doc], [half(rolling.of(start, end))]
     for p in PREFIXES:
         long = end - start > p
         docs.append(doc[long])
-        marks.append(_tokens.mix(rolling.of(start[long], start[long] + p) + np.uint64(p)))
+        marks.append(half(_tokens.mix(rolling.of(start[long], start[long] + p) + np.uint64(p))))
     return np.concatenate(docs), np.concatenate(marks), np.bincount(doc, minlength=len(texts))
 
 
-def _shouts(text: bytes) -> bool:
-    """Mostly capitals, or three exclamation marks or more."""
+def _shouts(text: bytes) -> int:
+    """1 for mostly capitals, 2 for three exclamation marks or more, or their sum."""
     upper, lower = sum(map(text.count, _UPPER)), sum(map(text.count, _LOWER))
-    return text.count(b"!") >= 3 or upper > lower
+    return (upper > lower) + 2 * (text.count(b"!") >= 3)
 
 
 _UPPER = [bytes([c]) for c in b"AEIOUNRST"]
@@ -72,32 +77,62 @@ def held_out(doc_id) -> F.Column:
 
 
 class LabelModel:
-    """Hidden classes behind votes (1 toxic, -1 clean, 0 abstains), by expectation and maximisation."""
+    """Hidden classes behind votes (1 toxic, -1 clean, 0 abstains), by expectation and maximisation.
+
+    ``parent[j]`` is the voter on whose vote that of ``j`` depends beside the class, or -1.
+    ``table[j]`` has the chances of ``j``'s votes by class and the parent's vote, and
+    ``correlation`` the mutual information of voters within the classes, in nats.
+    """
+
+    #: Correlations of less are taken for chance.
+    LEAST = 0.01
 
     def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 25):
         """start: a first guess of each row's chance to be toxic."""
-        q = start.astype(float)
-        n, m = votes.shape
-        self.weight = np.ones(m)
-        for _ in range(rounds):
+        seen, q = votes + 1, start.astype(float)
+        m = votes.shape[1]
+        self.parent = [-1] * m
+        for turn in range(rounds):
             self.prior = float(np.clip(q.mean(), 1e-4, 1 - 1e-4))
-            self.table = np.zeros((m, 2, 3))
-            for v in (-1, 0, 1):
-                is_v = votes == v
-                self.table[:, 1, v + 1] = (q @ is_v + 0.5) / (q.sum() + 1.5)
-                self.table[:, 0, v + 1] = ((1 - q) @ is_v + 0.5) / ((1 - q).sum() + 1.5)
-            yes = (votes == 1).astype(float)
-            rest = yes - (q[:, None] * self.table[:, 1, 2] + (1 - q)[:, None] * self.table[:, 0, 2])
-            scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            self.correlation = (rest.T @ rest) / n / np.outer(scale, scale)
-            self.weight = 1 / (1 + np.clip(self.correlation - np.eye(m), 0, 1).sum(axis=1))
+            if turn % 5 == 0:
+                self.correlation = np.array([[self._information(seen[:, i], seen[:, j], q) if i != j else 0.0 for j in range(m)] for i in range(m)])
+                self.parent = self._tree(self.correlation)
+            self.table = [self._chances(seen[:, j], seen[:, p] if p >= 0 else None, q) for j, p in enumerate(self.parent)]
             q = self.posterior(votes)
 
+    @staticmethod
+    def _joint(x: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Chances of pairs of votes, by class."""
+        count = lambda w: np.bincount(x * 3 + y, weights=w, minlength=9).reshape(3, 3) + 1 / 9
+        both = np.stack([count(1 - q), count(q)])
+        return both / both.sum(axis=(1, 2), keepdims=True)
+
+    def _information(self, x: np.ndarray, y: np.ndarray, q: np.ndarray) -> float:
+        p = self._joint(x, y, q)
+        gain = (p * np.log(p / (p.sum(axis=2, keepdims=True) * p.sum(axis=1, keepdims=True)))).sum(axis=(1, 2))
+        return float((1 - self.prior) * gain[0] + self.prior * gain[1])
+
+    def _tree(self, information: np.ndarray) -> list[int]:
+        """Parents along the tree of most information, without its weak branches."""
+        m = len(information)
+        parent, inside = [-1] * m, {0}
+        while len(inside) < m:
+            i, j = max(((i, j) for i in sorted(inside) for j in range(m) if j not in inside), key=lambda e: information[e])
+            parent[j] = i if information[i, j] >= self.LEAST else -1
+            inside.add(j)
+        return parent
+
+    def _chances(self, x: np.ndarray, given: np.ndarray | None, q: np.ndarray) -> np.ndarray:
+        if given is None:
+            given = np.zeros(len(x), dtype=int)
+        p = self._joint(given, x, q)
+        return p / p.sum(axis=2, keepdims=True)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         odds = np.log(self.prior / (1 - self.prior)) + np.zeros(len(votes))
-        for j in range(votes.shape[1]):
-            ratio = np.log(self.table[j, 1]) - np.log(self.table[j, 0])
-            odds += self.weight[j] * ratio[votes[:, j] + 1]
+        for j, p in enumerate(self.parent):
+            ratio = np.log(self.table[j][1]) - np.log(self.table[j][0])
+            odds += ratio[votes[:, p] + 1 if p >= 0 else 0, votes[:, j] + 1]
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -143,28 +178,30 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     given = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # A doc_id may have many rows.
+    given = given.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for t, y, i in zip(_texts(batch), batch.column("toxic").to_pylist(), batch.column("doc_id").to_pylist()):
                 _, mark, words = _features([t])
-                out.append((i, y, int(words[0]), bool(_shouts(t)), np.unique(mark).tobytes()))
+                out.append((i, y, int(words[0]), _shouts(t), np.unique(mark)[:ROW_FEATURES].tobytes()))
             yield pa.RecordBatch.from_pylist(
                 [dict(zip(("doc_id", "toxic", "words", "shouts", "marks"), o)) for o in out],
-                pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.int32()), ("shouts", pa.bool_()), ("marks", pa.binary())]),
+                pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.int32()), ("shouts", pa.int32()), ("marks", pa.binary())]),
             )
 
-    got = given.mapInArrow(shape, "doc_id long, toxic int, words int, shouts boolean, marks binary").toArrow()
+    got = given.mapInArrow(shape, "doc_id long, toxic int, words int, shouts int, marks binary").toArrow()
     order = np.lexsort((got["words"].to_numpy(), got["doc_id"].to_numpy())) if got.num_rows else np.empty(0, dtype=int)
     y = got["toxic"].to_numpy()[order] if got.num_rows else np.empty(0)
     if not len(y) or y.min() == y.max():
         marks = _insult_marks()
         return Classifier(marks, np.full(len(marks), 2.0), -1.0)
-    words, shouts = got["words"].to_numpy()[order], got["shouts"].to_numpy(zero_copy_only=False)[order]
+    words, shouts = got["words"].to_numpy()[order], got["shouts"].to_numpy()[order]
     sets = got["marks"].combine_chunks()
     del got
-    sets = [np.frombuffer(sets[int(i)].as_buffer(), dtype=np.uint64) for i in order]
+    sets = [np.frombuffer(sets[int(i)].as_buffer(), dtype=np.uint32) for i in order]
     names = np.concatenate(sets)
     names.sort()
     # Features of three rows or more; a row has each once.
@@ -177,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
         ok[ok] = names[at[ok]] == s[ok]
         cols_.append(at[ok].astype(np.int32))
         rows_.append(np.full(int(ok.sum()), i, dtype=np.int32))
-    del sets
+    del sets, s
     row, col = np.concatenate(rows_), np.concatenate(cols_)
     del rows_, cols_
     n, width = len(y), len(names)
@@ -187,9 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
     votes = [np.where(_hits(row, col, n, np.isin(names, _insult_marks())), 1, 0)]
     strong = []
     for f in (0, 1):
-        own = fold[row] != f
-        pos = np.bincount(col[own], weights=(y[row[own]] == 1), minlength=width)
-        neg = np.bincount(col[own], weights=(y[row[own]] == 0), minlength=width)
+        pos, neg = (np.bincount(col[((fold != f) & (y == label))[row]], minlength=width) for label in (1, 0))
         share = max(1.0, float((y[fold != f] == 1).sum())) / max(1.0, float((y[fold != f] == 0).sum()))
         lift = np.log((pos + 0.5) / (neg + 0.5)) - np.log(share)
         strong.append((pos, lift))
@@ -199,10 +234,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
             pos, lift = strong[f]
             hit |= (fold == f) & _hits(row, col, n, (pos >= least) & (lift > above))
         votes.append(np.where(hit, 1, np.where(words >= 3, -1, 0)))
-    votes.append(np.where(shouts, 1, 0))
+    votes += [np.where(shouts & bit, 1, 0) for bit in (1, 2)]
     votes.append(np.where(y == 1, 1, -1))
     votes = np.stack(votes, axis=1)
-    model = LabelModel(votes, np.where(y == 1, 0.9, 0.05))
+    model = LabelModel(votes, np.where(y == 1, 0.8, 0.1))
     q = model.posterior(votes)
 
     total = np.bincount(col, minlength=width)
@@ -213,22 +248,39 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
     to = np.full(width, -1)
     to[best] = np.arange(len(best))
     inside = to[col] >= 0
-    w, bias = _fit_linear(row[inside], to[col[inside]], n, len(best), q)
-    return Classifier(names[best], w, bias)
+    row, col = row[inside], to[col[inside]]
+    w, bias = _fit_linear(row, col, n, len(best), q)
+    return Classifier(names[best], w, bias - _threshold(row, col, n, len(best), q, y))
+
+
+def _threshold(row: np.ndarray, col: np.ndarray, n: int, width: int, q: np.ndarray, y: np.ndarray) -> float:
+    """The log odds from which calling rows toxic agrees best (F1) with labels of rows that were not fitted on."""
+    fold, odds = np.arange(n) % 2, np.zeros(n)
+    for f in (0, 1):
+        place = np.cumsum(fold != f) - 1
+        mine = fold[row] != f
+        w, bias = _fit_linear(place[row[mine]], col[mine], int((fold != f).sum()), width, q[fold != f])
+        odds[fold == f] = (np.bincount(row, weights=w[col], minlength=n) + bias)[fold == f]
+    order = np.argsort(-odds, kind="stable")
+    right = np.cumsum(y[order] == 1)
+    f1 = 2 * right / (np.arange(1, n + 1) + (y == 1).sum())
+    best = int(np.argmax(f1))
+    above, below = odds[order[best]], odds[order[min(best + 1, n - 1)]]
+    return float(np.clip((above + below) / 2, -3, 3))
 
 
 def _hits(row: np.ndarray, col: np.ndarray, n: int, chosen: np.ndarray) -> np.ndarray:
     return np.bincount(row[chosen[col]], minlength=n) > 0
 
 
-def score(docs: DataFrame, model: Classifier) -> DataFrame:
-    """``docs`` with a column ``score``, 0 to 1; null texts score as empty ones."""
-    names = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*names).schema.add("score", "double")
+def score(docs: DataFrame, model: Classifier, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, 0 to 1, in place of one of that name; null texts score as empty ones."""
+    names = [c for c in docs.columns if c.lower() != name.lower()]
+    schema = docs.select(*names).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(_texts(batch)))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(_texts(batch)))], [*names, name])
 
     return docs.select(*names).mapInArrow(run, schema)
 
@@ -245,5 +297,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are predicted toxic."""
-    return score(docs, learn(docs, labels)).where("score < 0.5").select(*docs.columns)
+    """``docs`` without the rows that are predicted toxic; columns of any name stay."""
+    name = free_name("toxicity", docs.columns)
+    return score(docs, learn(docs, labels), name).where(F.col(name) < 0.5).select(*docs.columns)
