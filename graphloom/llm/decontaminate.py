@@ -26,8 +26,15 @@ BROADCAST_WINDOWS = 1 << 20
 BROADCAST_TEXTS = 1 << 18
 NUMBER_MARK, NAME_MARK, UNIT_MARK = "\ue001", "\ue002", "\ue003"
 MARKS = (NUMBER_MARK, NAME_MARK, UNIT_MARK)
-NAME = r"[A-ZÀ-Þ](?<=[a-z,;]\x20[A-ZÀ-Þ])[a-zß-ÿ]{1,24}(?![A-Za-zÀ-ÿ])"
-NUMBER = r"[0-9](?<![A-Za-z0-9À-ÿ][0-9])[0-9]*+(?:[.,:/][0-9]++)*+%?"
+#: A run of capitalised words, those at the start of a sentence among them, is one name.
+NAME = r"(?<!\p{L})\p{Lu}\p{Ll}++(?!\p{L})(?:\x20\p{Lu}\p{Ll}++(?!\p{L}))*+"
+# Numbers written as words.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
+_SPELLED = "(?:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")(?!\p{L})"
+NUMBER = rf"[0-9](?<![A-Za-z0-9À-ÿ][0-9])[0-9]*+(?:[.,:/][0-9]++)*+%?|(?<!\p{{L}}){_SPELLED}(?:[\x20-]{_SPELLED})*+"
 UNIT = (
     "(" + NUMBER_MARK + r")\x20{0,3}(kg|g|mg|lb|lbs|oz|km|cm|mm|m|mi|miles|mile|feet|foot|ft|inches|inch|meters|metres|kilometers|grams|kilograms|pounds|"
     r"liters|litres|ml|l|gallons|hours|hour|minutes|minute|seconds|second|days|day|weeks|months|years|dollars|cents|euros|percent|degrees|kmh|mph|watts|volts)(?![A-Za-z])"
@@ -41,7 +48,7 @@ def _named(text: Column) -> Column:
 
 
 def _numbered(named: Column) -> Column:
-    return F.when(named.rlike("[0-9]"), F.regexp_replace(named, NUMBER, f" {NUMBER_MARK} ")).otherwise(named)
+    return F.regexp_replace(named, NUMBER, f" {NUMBER_MARK} ")
 
 
 def tokens(text: Column) -> Column:
@@ -76,6 +83,20 @@ def windows(words: Column) -> Column:
     return let(words, of)
 
 
+def _plain(text: Column) -> Column:
+    """The hash of a text's lower-cased words; null without words."""
+    words = F.filter(F.split(F.lower(text), _BREAK, -1), lambda w: w != "")
+    return let(words, lambda w: F.when(F.size(w) > 0, F.xxhash64(w)))
+
+
+def _whole(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents of which the whole text or a line has the words of an item (item_id, plain)."""
+    each = F.array_append(F.transform(F.split("text", "\n", -1), _plain), _plain(F.col("text")))
+    found = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key(), F.explode(F.array_distinct(each)).alias("plain"))
+    found = found.join(F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items, "plain").select("doc_id", "text_key", "item_id").distinct()
+    return found.select("doc_id", "text_key", "item_id", F.lit(0).cast("bigint").alias("n_windows"), F.lit(0).cast("bigint").alias("item_windows"), F.lit(False).alias("changed"))
+
+
 def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
 
@@ -100,14 +121,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Columns ``doc_id, text_key, item_id, n_windows, item_windows, changed``: the aligned
     windows found, those the item has, and whether a value differs.  Repeated rows give
-    their rows once.  Items and documents of fewer than ``WINDOW`` tokens, null and empty
-    texts match nothing.  Other columns are not read.
+    their rows once.  An item without a usable window, of fewer than ``WINDOW`` tokens or of
+    few plain words, is found where a whole text or line has its words (0 windows).  Texts
+    without words match nothing.  Other columns are not read.
     """
     items = benchmark.select("item_id", "text").withColumn("words", tokens(F.col("text"))).withColumn("values", values(F.col("text")))
     items = materialize(items.where(F.size("words") >= WINDOW).select("item_id", "words", "values").distinct(), "items")
     each = items.select("item_id", "words", F.size("words").alias("length"), F.posexplode(windows(F.col("words"))).alias("item_at", "hash"))
     plain = F.size(F.filter(F.slice("words", F.col("item_at") + 1, F.lit(WINDOW)), lambda w: ~w.isin(*MARKS)))
     index = materialize(each.where(plain >= PLAIN_WORDS).select("hash", "item_id", "item_at"), "windows")
+    rest = benchmark.select("item_id", _plain(F.col("text")).alias("plain")).where("plain is not null").distinct()
+    rest = materialize(rest.join(index.select("item_id").distinct(), rest.item_id.eqNullSafe(index.item_id), "left_anti"), "unusable")
     sizes = index.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     known = F.broadcast(index) if index.count() <= BROADCAST_WINDOWS else index
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key(), F.posexplode(windows(tokens(F.col("text")))).alias("doc_at", "hash")).join(known, "hash")
@@ -138,12 +162,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.exists("slots", lambda s: s["a"] != s["b"]).alias("changed"),
     )
     best = judged.where("consistent").groupBy("doc_id", "text_key", "item_id")
-    return best.agg(F.max("n_windows").alias("n_windows"), F.first("item_windows").alias("item_windows"), F.min("changed").alias("changed"))
+    found = best.agg(F.max("n_windows").alias("n_windows"), F.first("item_windows").alias("item_windows"), F.min("changed").alias("changed"))
+    return found if rest.isEmpty() else found.unionByName(_whole(docs, rest))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that repeat a benchmark item."""
-    bad = materialize(leaks(docs, benchmark).select("text_key").distinct(), "leaks").withColumnRenamed("text_key", "_leaked")
+    """``docs`` without the rows that repeat a benchmark item; columns of any name stay."""
+    bad = materialize(leaks(docs, benchmark).select("text_key").distinct(), "leaks")
     if bad.count() <= BROADCAST_TEXTS:
         bad = F.broadcast(bad)
-    return docs.withColumn("_text_key", _text_key()).join(bad, F.col("_text_key") == F.col("_leaked"), "left_anti").drop("_text_key")
+    given = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _text_key())
+    return given.join(bad, "text_key", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
