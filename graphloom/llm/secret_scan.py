@@ -2,8 +2,9 @@
 
 Every text is searched once for three base kinds of secret and for wider candidates.  The
 hash of a candidate is counted over the distinct repositories and owners in which it
-stands: a value that many owners hold is a copied example, one that stands with a single
-owner and looks random is live.  Base spans are always reported; wider candidates are
+stands: a value that many owners hold, or several owners in many repositories, is a copied
+example; one that stands with a single owner, in few of its repositories, and looks random
+is live.  Base spans are always reported; wider candidates are
 added where ownership says that they are not copied examples.
 """
 
@@ -15,16 +16,18 @@ from pyspark.sql import functions as F
 from graphloom.llm._spans import joined, matches
 from graphloom.plans.shared import materialize
 
-ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Wider candidates: keys with a vendor's prefix, signed tokens, and headers of private keys.
 VENDOR = r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_)[A-Za-z0-9_-]{16,}"
-SIGNED = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+SIGNED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 PEM = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
 KINDS = ("assign", "access", "hex", "vendor", "signed", "pem")
-#: From so many owners on, a value is a copied example.
-EXAMPLE_OWNERS = 3
+#: From so many owners on, or so many repositories of more than one owner, a value is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
+#: In more repositories than this, a single owner's value is a shared default.
+LIVE_REPOSITORIES = 4
 #: Hashes whose copy to every executor is proven small.
 BROADCAST_HASHES = 1 << 19
 
@@ -106,13 +109,14 @@ def scan(docs: DataFrame, repository: Column | None = None, owner: Column | None
     if spread.count() <= BROADCAST_HASHES:
         spread = F.broadcast(spread)
     known = each.withColumn("hash", F.col("s.hash")).join(spread, "hash", "left")
+    owners, repositories = (F.coalesce(c, F.lit(1)) for c in ("owners", "repositories"))
     judged = known.select(
         "row", "doc_id",
         F.struct(
             F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"),
             F.col("s.base").alias("base"),
-            (F.coalesce("owners", F.lit(1)) >= EXAMPLE_OWNERS).alias("example"),
-            ((F.coalesce("owners", F.lit(1)) == 1) & F.col("s.random")).alias("live"),
+            ((owners >= EXAMPLE_OWNERS) | ((owners > 1) & (repositories >= EXAMPLE_REPOSITORIES))).alias("example"),
+            ((owners == 1) & (repositories <= LIVE_REPOSITORIES) & F.col("s.random")).alias("live"),
         ).alias("s"),
     )
     some = judged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("s")).alias("s"))
