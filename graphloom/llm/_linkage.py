@@ -1,25 +1,30 @@
 """Finding every linked pair of items that share a key, without pairing whole groups.
 
 Items are identified by the hash of their content, so exact copies are one item.  Each
-item has some keys, chosen so that two linked items always share one.  Then
-
-1. every task sorts the keys of its block of items, links each key's items to the first of
-   them (a star) and passes on only that first one, packed by bucket of the key: however
-   many items share a key, a task that gathers a bucket gets at most one entry for each
-   block;
-2. the gathering task links the firsts of each key in the same way.  All distinct star
-   pairs are verified, and the components of the verified links are found;
-3. only keys of three or more items that still lie in several components are looked at
-   again: their items are dealt into tiles of bounded size.  Of the pairs across components
-   that pass a bound from the items' signatures, a tile first gives only as many as would
-   join its components, in ``FORESTS`` rounds of different order, and then all that are left.
-
-Linked items end in one component: they share a key, and after step 2 they either are in
-one component already or meet in the last round of step 3.
+item has some keys, chosen so that two linked items share one, and a level of its size;
+linked items are at most ``REACH`` levels apart.  Then
+
+1. every task sorts the keys of its block of items and passes them on, packed by bucket of
+   the key.  Of a key with more than ``LOCAL`` items in the block only the first goes on:
+   however many items share a key, a task that gathers a bucket gets a few entries for each
+   block.  The others are members of a large key;
+2. the gathering task works off one bucket after the other.  A key of up to ``PAIRED`` items
+   gives all its pairs whose levels are near and is done.  Of a larger key, each item is
+   paired with the first of its level, and all are members.  All distinct pairs are
+   verified, and the components of the verified links are found;
+3. only large keys whose items still lie in several components are looked at again: their
+   items are dealt into tiles of bounded size, of which none has two items of the key's
+   largest component that must meet.  Of the pairs across components that pass a bound from
+   the items' signatures, only as many as would join their components are verified first, in
+   ``FORESTS`` rounds of different order, and then all that are left.
+
+Linked items end in one component: they share a key, and either their pair was given in
+step 2, or they are in one component, or they meet in the last round of step 3.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,144 +33,280 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import _tokens
-from graphloom.operators.components import connected_components
-from graphloom.plans.shared import arrow_rows, materialize, release
+from graphloom.operators.components import connected_components, joined_components
+from graphloom.plans.shared import arrow_rows, materialize, reclaim, release
 
-#: Where sides are used, two entries of side 2 do not make a pair.
-ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("side", "u1")])
+#: A tag has the level of an item's size and, in its last bit, whether the entry only probes: two probes make no pair.
+ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("tag", "u1")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
-STAR, KEY, MEMBER = 0, 1, 2
+PAIRS, KEY, HEAD, MEMBER, NODE, LATER = range(6)
+#: Levels by which linked items differ at most.
+REACH, LEVELS = 2, 127
 #: Key entries that a task sorts at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Most items of a key that a block passes on, and with which a gathered key is paired in whole.
+LOCAL, PAIRED = 8, 128
+#: Index pairs that are looked at together.
+STEP = 1 << 18
 #: Rows of an Arrow batch.
 ARROW_ROWS = 2048
 #: Items on each edge of a tile.
 TILE = 512
 #: Rounds in which tiles give forests of pairs.
 FORESTS = 2
+#: Rows whose copy to every executor is proven small.
+BROADCAST_ROWS = 1 << 19
 PACKED = "kind int, bucket int, payload binary"
-ROWS = "kind int, x long, y long, side int"
+ROWS = "kind int, x long, y long, tag int, doc_id long, text_key long, line int, size long, mark binary"
+_OF_NODES = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.int32()), ("size", pa.int64()), ("mark", pa.binary())]
+NODES = pa.schema([("x", pa.int64()), *_OF_NODES])
+_ROWS = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("tag", pa.int32()), *_OF_NODES])
 
 
-def _spread(x: np.ndarray, n: int) -> np.ndarray:
-    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+def small(frame: DataFrame) -> DataFrame:
+    """``frame`` to be broadcast if it has few rows; counted first."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
+def levels(size: np.ndarray, ratio: float, base: int) -> np.ndarray:
+    """Levels of sizes, each ``ratio`` times the one before it."""
+    return np.clip(np.log(np.maximum(size, 1) / base) / np.log(ratio), 0, LEVELS).astype(np.uint8)
+
+
+def entries(key: np.ndarray, item: np.ndarray, level: np.ndarray, probe: bool = False) -> np.ndarray:
+    out = np.empty(len(key), dtype=ENTRY)
+    # Sixteen bits less are sent; a key in common says little by itself.
+    out["key"], out["id"], out["tag"] = key & ~np.uint64(0xFFFF), item, (level << np.uint8(1)) | np.uint8(probe)
+    return out
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether tags may belong to a linked pair."""
+    return (np.abs((x >> 1).astype(np.int16) - (y >> 1)) <= REACH) & ((x & y & 1) == 0)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty(len(a), dtype=PAIR)
     out["a"], out["b"] = np.minimum(a, b), np.maximum(a, b)
-    return np.unique(out[out["a"] != out["b"]])
-
-
-def stars(entries: np.ndarray, sided: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Star pairs, members of shared keys, and the entries that stand for their keys."""
-    if not len(entries):
-        return np.empty(0, dtype=PAIR), entries, entries
-    keys = np.ascontiguousarray(entries["key"])
-    order = np.argsort(keys)
-    keys = keys[order]
-    differs = keys[1:] != keys[:-1]
-    alone = np.concatenate(([True], differs)) & np.concatenate((differs, [True]))
-    single, e = entries[order[alone]], entries[order[~alone]]
-    e = e[np.lexsort((e["id"], e["side"], e["key"]))]
-    if len(e):
-        same = (e["key"][1:] == e["key"][:-1]) & (e["id"][1:] == e["id"][:-1]) & (e["side"][1:] == e["side"][:-1])
-        e = e[np.concatenate(([True], ~same))]
-    at = np.arange(len(e))
-    head = np.ones(len(e), dtype=bool)
-    head[1:] = e["key"][1:] != e["key"][:-1]
-    first = np.maximum.accumulate(np.where(head, at, 0))
-    shared = np.bincount(first, minlength=len(e))[first] > 1
-    if sided:  # side 1 comes first, so a key's first entry pairs with all of its others, or with none
-        linked = shared & (e["side"][first] == 1)
-        stands = head.copy()
-        stands[1:] |= e["side"][1:] != e["side"][:-1]
-    else:
-        linked, stands = shared, head
-    return _pairs(e["id"][linked], e["id"][first[linked]]), e[shared], np.concatenate((single, e[stands]))
-
-
-def _packed(kind: int, buckets: np.ndarray, values: np.ndarray):
-    order = np.argsort(buckets, kind="stable")
-    buckets, values = buckets[order], values[order]
-    cuts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(buckets) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(buckets)]):
-        yield kind, int(buckets[lo]), values[lo:hi].tobytes()
-
-
-def _block(entries: np.ndarray, n: int, sided: bool) -> pa.RecordBatch:
-    pairs, members, heads = stars(entries, sided)
-    rows = [
-        *_packed(STAR, _spread(pairs["a"].view("<u8") ^ (pairs["b"].view("<u8") << np.uint64(1)), n), pairs),
-        *_packed(KEY, _spread(heads["key"], n), heads),
-        *_packed(MEMBER, _spread(members["id"].astype("<i8").view("<u8"), n), members),
-    ]
-    kinds, buckets, payloads = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())],
-        ["kind", "bucket", "payload"],
-    )
-
-
-def _row_batches(kind: int, x: np.ndarray, y: np.ndarray, side: np.ndarray | None = None, step: int = 1 << 18):
+    return out[out["a"] != out["b"]]
+
+
+def _unique(pairs: np.ndarray) -> np.ndarray:
+    order = np.lexsort((pairs["b"], pairs["a"]))
+    pairs = pairs[order]
+    fresh = np.ones(len(pairs), dtype=bool)
+    fresh[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
+    return pairs[fresh]
+
+
+class Groups:
+    """Distinct entries in the order of key, tag and item; ``key, id, tag, flag``, and where groups begin."""
+
+    def __init__(self, key: np.ndarray, item: np.ndarray, tag: np.ndarray, flag: np.ndarray | None = None):
+        order = np.argsort(key)
+        sorted_key = key[order]
+        differs = sorted_key[1:] != sorted_key[:-1]
+        alone = np.concatenate(([True], differs)) & np.concatenate((differs, [True])) if len(key) else np.empty(0, dtype=bool)
+        if flag is not None:
+            alone &= ~flag[order]
+        self.alone = order[alone]
+        at = order[~alone]
+        key, item, tag = key[at], item[at], tag[at]
+        flag = np.zeros(len(at), dtype=bool) if flag is None else flag[at]
+        order = np.lexsort((~flag, item, tag, key))
+        key, item, tag, flag = key[order], item[order], tag[order], flag[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1]) | (tag[1:] != tag[:-1])
+        self.key, self.id, self.tag, self.flag = key[fresh], item[fresh], tag[fresh], flag[fresh]
+        new = np.ones(len(self.key), dtype=bool)
+        new[1:] = self.key[1:] != self.key[:-1]
+        self.begin = np.flatnonzero(new)
+        self.count = np.diff(np.append(self.begin, len(self.key)))
+        self.any_flag = np.logical_or.reduceat(self.flag, self.begin) if len(self.begin) else np.empty(0, dtype=bool)
+
+    def rows(self, chosen: np.ndarray) -> np.ndarray:
+        """Which entries belong to the chosen groups."""
+        return np.repeat(chosen, self.count)
+
+    def stars(self, chosen: np.ndarray) -> np.ndarray:
+        """Pairs of the entries of chosen groups with the first of their level, and of such firsts of neighbouring levels."""
+        at = np.flatnonzero(self.rows(chosen))
+        if not len(at):
+            return np.empty(0, dtype=PAIR)
+        key, level = self.key[at], self.tag[at] >> 1
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (level[1:] != level[:-1])
+        heads = at[new]
+        first = heads[np.cumsum(new) - 1]
+        a, b = np.concatenate((at, heads[1:])), np.concatenate((first, heads[:-1]))
+        ok = (self.key[a] == self.key[b]) & _near(self.tag[a], self.tag[b])
+        return _pairs(self.id[a[ok]], self.id[b[ok]])
+
+    def all_pairs(self, chosen: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of near levels within chosen groups."""
+        for n in np.unique(self.count[chosen]):
+            if n < 2:
+                continue
+            begin = self.begin[chosen & (self.count == n)]
+            i, j = np.triu_indices(n, 1)
+            step = max(1, STEP // len(i))
+            for lo in range(0, len(begin), step):
+                a = (begin[lo : lo + step, None] + i).ravel()
+                b = (begin[lo : lo + step, None] + j).ravel()
+                ok = _near(self.tag[a], self.tag[b])
+                yield _unique(_pairs(self.id[a[ok]], self.id[b[ok]]))
+
+
+def _bytes(key: np.ndarray, item: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    out = np.empty((len(key), 15), dtype=np.uint8)
+    out[:, :6] = np.ascontiguousarray(key).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, 2:]
+    out[:, 6:14] = np.ascontiguousarray(item).astype("<i8", copy=False).view(np.uint8).reshape(-1, 8)
+    out[:, 14] = tag
+    return out
+
+
+def _unpacked(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(-1, 15)
+    key = np.zeros((len(raw), 8), dtype=np.uint8)
+    key[:, 2:] = raw[:, :6]
+    return key.view("<u8").ravel(), np.ascontiguousarray(raw[:, 6:14]).view("<i8").ravel(), np.ascontiguousarray(raw[:, 14])
+
+
+def _bucket(key: np.ndarray, n: int) -> np.ndarray:
+    """Buckets in the order of keys."""
+    return ((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def _packed(kind: int, key: np.ndarray, item: np.ndarray, tag: np.ndarray, n: int) -> Iterator[tuple[int, int, bytes]]:
+    order = np.argsort(key)
+    key = key[order]
+    rows, bucket = _bytes(key, item[order], tag[order]), _bucket(key, n)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(key) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(key)]):
+        yield kind, int(bucket[lo]), rows[lo:hi].tobytes()
+
+
+def _block(e: np.ndarray, n: int) -> Iterator[tuple[int, int, bytes]]:
+    """Packed rows of a block of entries."""
+    key, item, tag = (np.ascontiguousarray(e[c]) for c in ("key", "id", "tag"))
+    g = Groups(key, item, tag)
+    large = g.count > LOCAL
+    inside = g.rows(large)
+    keep = [np.concatenate((x[g.alone], y[~inside])) for x, y in ((key, g.key), (item, g.id), (tag, g.tag))]
+    yield from _packed(KEY, *keep, n)
+    if large.any():
+        stars = _unique(g.stars(large))
+        where = _tokens.mix(stars["a"].view("<u8") ^ (stars["b"].view("<u8") << np.uint64(1)))
+        order = np.argsort(where)
+        bucket = _bucket(where[order], n)
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(bucket)]):
+            yield PAIRS, int(bucket[lo]), stars[order[lo:hi]].tobytes()
+        head = np.zeros(len(g.key), dtype=bool)
+        head[g.begin[large]] = True
+        # A key's members go by item, as very many may share the key.
+        where = _tokens.mix(g.id[inside].view("<u8"))
+        order = np.argsort(where)
+        rows, bucket = _bytes(g.key[inside][order], g.id[inside][order], g.tag[inside][order]), _bucket(where[order], n)
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        for lo, hi in zip(cuts, [*cuts[1:], len(bucket)]):
+            yield MEMBER, int(bucket[lo]), rows[lo:hi].tobytes()
+        yield from _packed(HEAD, g.key[head], g.id[head], g.tag[head], n)
+
+
+def _rows(kind: int, x: np.ndarray, y: np.ndarray, tag: np.ndarray | None = None, step: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    kinds = np.full(step, kind, dtype=np.int32)
     for i in range(0, len(x), step):
         part = slice(i, i + step)
         n = len(x[part])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(n, kind, dtype=np.int32)),
-                pa.array(np.ascontiguousarray(x[part]).astype("<i8", copy=False)),
-                pa.array(np.ascontiguousarray(y[part])),
-                pa.array(np.zeros(n, dtype=np.int32) if side is None else side[part].astype(np.int32)),
+                pa.array(kinds[:n]), pa.array(np.ascontiguousarray(x[part]).view("<i8")), pa.array(np.ascontiguousarray(y[part]).view("<i8")),
+                pa.nulls(n, pa.int32()) if tag is None else pa.array(tag[part].astype(np.int32)), *(pa.nulls(n, of) for _, of in _OF_NODES),
             ],
-            ["kind", "x", "y", "side"],
-        )
+            schema=_ROWS,
+        )
+
 
+def _node_rows(nodes: pa.RecordBatch) -> pa.RecordBatch:
+    n, none = nodes.num_rows, pa.nulls
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, NODE, dtype=np.int32)), nodes.column(0), none(n, pa.int64()), none(n, pa.int32()), *nodes.columns[1:]], schema=_ROWS)
+
+
+def _bucket_rows(got: dict[int, list[bytes]], paired: int) -> Iterator[pa.RecordBatch]:
+    if not got[KEY] and not got[HEAD] and not got[PAIRS]:
+        return
+    plain, heads = _unpacked(got[KEY]), _unpacked(got[HEAD])
+    flag = np.repeat([False, True], [len(plain[0]), len(heads[0])])
+    g = Groups(*(np.concatenate(x) for x in zip(plain, heads)), flag)
+    whole = ~g.any_flag & (g.count <= paired)
+    found = [np.frombuffer(b"".join(got[PAIRS]), dtype=PAIR), g.stars(~whole), *g.all_pairs(whole)]
+    pairs = _unique(np.concatenate(found))
+    yield from _rows(PAIRS, pairs["a"], pairs["b"])
+    rest = g.rows(~whole)
+    yield from _rows(MEMBER, g.key[rest], g.id[rest], g.tag[rest])
+
+
+def _gather(paired: int) -> Callable:
+    """Works off one bucket after the other; rows come in their order."""
 
-def _gather(sided: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[bytes]] = {STAR: [], KEY: []}
+        bucket, got = None, {PAIRS: [], KEY: [], HEAD: []}
         for batch in batches:
-            kinds = batch.column(0).to_pylist()
-            for kind, payload in zip(kinds, batch.column(2)):
+            for kind, at, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if at != bucket:
+                    yield from _bucket_rows(got, paired)
+                    bucket, got = at, {PAIRS: [], KEY: [], HEAD: []}
                 data = payload.as_buffer()
-                if kind == MEMBER:
-                    m = np.frombuffer(data, dtype=ENTRY)
-                    yield from _row_batches(MEMBER, m["key"].astype("<u8").view("<i8"), m["id"], m["side"])
+                if kind == NODE:
+                    yield _node_rows(pa.ipc.read_record_batch(data, NODES))
+                elif kind == MEMBER:
+                    key, item, tag = _unpacked([data])
+                    yield from _rows(MEMBER, key, item, tag)
                 else:
                     got[kind].append(bytes(data))
-        entries = np.frombuffer(b"".join(got.pop(KEY)), dtype=ENTRY)
-        pairs, members, _ = stars(entries, sided)
-        yield from _row_batches(MEMBER, members["key"].astype("<u8").view("<i8"), members["id"], members["side"])
-        local = np.frombuffer(b"".join(got.pop(STAR)), dtype=PAIR)
-        pairs = np.unique(np.concatenate((local, pairs)))
-        yield from _row_batches(STAR, pairs["a"], pairs["b"])
+        yield from _bucket_rows(got, paired)
 
     return run
 
 
-def keyed(frame: DataFrame, keys_of: Callable, sided: bool = False) -> DataFrame:
-    """Star pairs (kind 0: x, y) and members of shared keys (kind 2: key x, item y).
+def keyed(frame: DataFrame, keys_of: Callable, paired: int = PAIRED) -> DataFrame:
+    """Pairs (x, y), members of large keys (key x, item y, tag) and nodes, each of its kind.
 
-    ``keys_of`` turns an iterator of record batches into arrays of ``ENTRY``.
+    ``keys_of`` turns an iterator of record batches of ``frame`` into arrays of ``ENTRY`` and
+    record batches of ``NODES``, so that ``frame`` is read once.
     """
-    n = 16 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = frame.sparkSession
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for entries in keys_of(batches):
-            held.append(entries)
-            size += len(entries)
+
+        def out(rows) -> pa.RecordBatch:
+            kinds, buckets, payloads = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], ["kind", "bucket", "payload"])
+
+        for got in keys_of(batches):
+            if isinstance(got, pa.RecordBatch):
+                data = got.serialize().to_pybytes()
+                yield out([(NODE, zlib.crc32(data) % n, data)])
+                continue
+            held.append(got)
+            size += len(got)
             if size >= BLOCK:
-                yield _block(np.concatenate(held), n, sided)
+                yield out(_block(np.concatenate(held), n))
                 held, size = [], 0
         if size:
-            yield _block(np.concatenate(held), n, sided)
+            yield out(_block(np.concatenate(held), n))
 
-    packed = frame.mapInArrow(run, PACKED).repartition("bucket")
-    with arrow_rows(frame.sparkSession, ARROW_ROWS):
-        return materialize(packed.mapInArrow(_gather(sided), ROWS), "keyed")
+    with arrow_rows(spark, ARROW_ROWS):
+        packed = frame.mapInArrow(run, PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    with arrow_rows(spark, ARROW_ROWS // 8):
+        rows = materialize(packed.mapInArrow(_gather(paired), ROWS), "keyed")
+    del packed
+    reclaim(spark)
+    return rows
 
 
 def _forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray, turn: int) -> np.ndarray:
@@ -190,96 +331,307 @@ def _forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray, turn: int) -> np.nda
         label = to[label]
 
 
-def _tiles(keep: Callable, sided: bool, turn: int | None) -> Callable:
-    """Pairs of a tile that lie in different components and that ``keep`` lets pass; with a turn, a forest of them."""
+def _candidates(rows: dict, keep: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a tile that lie in different components and that ``keep`` lets pass."""
+    left = np.flatnonzero(rows["part"] == rows["i"])
+    right = np.flatnonzero(rows["part"] == rows["j"])
+    found = []
+    for some in np.array_split(left, max(1, len(left) * len(right) // STEP)):
+        a, b = np.repeat(some, len(right)), np.tile(right, len(some))
+        ok = (rows["comp"][a] != rows["comp"][b]) & ((rows["i"][a] != rows["j"][a]) | (a < b)) & _near(rows["tag"][a], rows["tag"][b])
+        a, b = a[ok], b[ok]
+        if len(a):
+            ok = keep(rows["size"], rows["mark"], a, b)
+            found.append((a[ok], b[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, dtype=np.int64),) * 2
+
+
+def _each_tile(batches: Iterator[pa.RecordBatch], objects: tuple[str, ...]) -> Iterator[dict]:
+    """The rows of one tile after the other, as arrays by column."""
+    rest: dict | None = None
+    for batch in batches:
+        now = {}
+        for c in batch.schema.names:
+            if c in objects:
+                now[c] = np.empty(batch.num_rows, dtype=object)
+                now[c][:] = batch.column(c).to_pylist()
+            else:
+                now[c] = batch.column(c).to_numpy(zero_copy_only=False)
+        if rest is not None:
+            now = {c: np.concatenate((rest[c], now[c])) for c in now}
+        change = np.flatnonzero((now["key"][1:] != now["key"][:-1]) | (now["i"][1:] != now["i"][:-1]) | (now["j"][1:] != now["j"][:-1])) + 1
+        cuts = [0, *change]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield {c: v[lo:hi] for c, v in now.items()}
+        rest = {c: v[cuts[-1] :] for c, v in now.items()}
+    if rest is not None and len(rest["key"]):
+        yield rest
+
 
-    def one(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        left = np.flatnonzero(rows["part"] == rows["i"])
-        right = np.flatnonzero(rows["part"] == rows["j"])
-        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        ok = (rows["comp"][a] != rows["comp"][b]) & ((rows["i"][a] != rows["j"][a]) | (a < b))
-        if sided:
-            ok &= (rows["side"][a] == 1) | (rows["side"][b] == 1)
-        return a[ok], b[ok]
+def _tiles(keep: Callable, turn: int | None) -> Callable:
+    """The candidates of each tile; with a turn, a forest of them.  In turn 0 also the items of those passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "i", "j", "part", "id", "comp", "side", "size", "mark")
-        rest: dict | None = None
-        for batch in batches:
-            now = {c: (np.array(batch.column(c).to_pylist(), dtype=object) if c == "mark" else batch.column(c).to_numpy(zero_copy_only=False)) for c in names}
-            if rest is not None:
-                now = {c: np.concatenate((rest[c], now[c])) for c in names}
-            change = np.flatnonzero((now["key"][1:] != now["key"][:-1]) | (now["i"][1:] != now["i"][:-1]) | (now["j"][1:] != now["j"][:-1])) + 1
-            yield from emit(now, [0, *change])
-            last = change[-1] if len(change) else 0
-            rest = {c: now[c][last:] for c in names}
-        if rest is not None:
-            yield from emit(rest, [0, len(rest["key"])])
+        for rows in _each_tile(batches, ("mark",)):
+            a, b = _candidates(rows, keep)
+            if not len(a):
+                continue
+            if turn == 0:
+                ids = rows["id"][np.unique(np.concatenate((a, b)))]
+                yield from _rows(LATER, ids, np.zeros_like(ids))
+            if turn is not None:
+                few = _forest(a, b, rows["comp"], turn)
+                a, b = a[few], b[few]
+            yield from _rows(KEY, rows["key"][:1], np.zeros(1, dtype=np.int64))
+            pairs = _unique(_pairs(rows["id"][a], rows["id"][b]))
+            yield from _rows(PAIRS, pairs["a"], pairs["b"])
+
+    return run
+
+
+def _first_met(before: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the items of index pairs have no lesser key in common, so that no other tile has the pair."""
+    n = np.array([len(x) for x in before])
+    if not n.any():
+        return np.ones(len(a), dtype=bool)
+    keys, at = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in before]), return_inverse=True)
+    has = np.zeros((len(before), len(keys)), dtype=np.float32)
+    has[np.repeat(np.arange(len(before)), n), at] = 1
+    return (has @ has.T)[a, b] == 0
+
+
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after the items of pairs have become one component."""
+    while True:
+        lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        if (lo == hi).all():
+            return label
+        to = np.arange(len(label))
+        np.minimum.at(to, hi, lo)
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
 
-    def emit(now: dict, cuts: list[int]):
-        found, open_keys = [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            rows = {c: v[lo:hi] for c, v in now.items()}
-            a, b = one(rows)
+
+def _meetings(keep: Callable) -> Callable:
+    """Of each tile one row with its candidates, as packed index pairs, and a row for each item in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _each_tile(batches, ("mark", "before")):
+            a, b = _candidates(rows, keep)
             if len(a):
-                ok = keep(rows["size"], rows["mark"], a, b)
+                ok = _first_met(rows["before"], a, b)
                 a, b = a[ok], b[ok]
-                if turn is not None and len(a):
-                    few = _forest(a, b, rows["comp"], turn)
-                    a, b = a[few], b[few]
-                if len(a):
-                    found.append(_pairs(rows["id"][a], rows["id"][b]))
-                    open_keys.append(rows["key"][0])
-        if found:
-            keys = np.unique(np.array(open_keys, dtype=np.int64))
-            yield from _row_batches(KEY, keys, np.zeros_like(keys))
-            pairs = np.unique(np.concatenate(found))
-            yield from _row_batches(STAR, pairs["a"], pairs["b"])
+            if not len(a):
+                continue
+            used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+            n = len(used) + 1
+            same = lambda c: pa.array(np.full(n, rows[c][0]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    same("key"), same("i"), same("j"), pa.array(np.arange(-1, n - 1, dtype=np.int32)), pa.array([None, *rows["id"][used]], pa.int64()),
+                    pa.array([None, *rows["comp"][used]], pa.int64()), pa.array([at.astype("<u2").tobytes(), *[None] * (n - 1)], pa.binary()),
+                ],
+                ["key", "i", "j", "idx", "id", "comp", "pairs"],
+            )
 
     return run
 
 
-def components(
-    rows: DataFrame,
-    nodes: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    keep: Callable,
-    sided: bool = False,
-) -> DataFrame:
+MET = "key long, i int, j int, idx int, id long, comp long, pairs binary"
+
+
+def _settle(within: Callable) -> Callable:
+    """The linked pairs among the candidates of tiles, as many as join what is linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for rows in _each_tile(batches, ("pairs", "text")):
+            a, b = np.frombuffer(rows["pairs"][0], dtype="<u2").reshape(2, -1)
+            item = {c: rows[c][1:] for c in ("id", "comp", "text")}
+            held.append((item["id"][a].astype(np.int64), item["id"][b].astype(np.int64), item["id"].astype(np.int64), item["comp"].astype(np.int64), item["text"]))
+            size += len(a)
+            if size >= STEP >> 4:
+                yield from linked(held)
+                held, size = [], 0
+        if held:
+            yield from linked(held)
+
+    def linked(held: list) -> Iterator[pa.RecordBatch]:
+        a, b, ids, comps, texts = (np.concatenate(x) for x in zip(*held))
+        ids, first = np.unique(ids, return_index=True)
+        texts = texts[first]
+        label = np.unique(comps[first], return_inverse=True)[1]
+        a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        for turn in (*range(FORESTS), None):
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+            now = np.ones(len(a), dtype=bool)
+            if turn is not None and len(a):
+                now[:] = False
+                now[_forest(a, b, label, turn)] = True
+            ok = within([texts[i] for i in a[now]], [texts[i] for i in b[now]])
+            x, y = a[now][ok], b[now][ok]
+            label = _joined(label, x, y)
+            a, b = a[~now], b[~now]
+            pairs = _pairs(ids[x], ids[y])
+            yield from _rows(PAIRS, pairs["a"], pairs["b"])
+
+    return run
+
+
+class Contents:
+    """``(id, text)`` of items that were asked for; each is read from one document, and kept for the next time.
+
+    docs: ``(doc_id, text_key, text)``.  nodes: ``(id, place)``, where ``place`` hashes
+    text_key and doc_id of a document that has the item.  ``extract`` turns ``(ids, text)``,
+    a document and the items wanted of it, into ``(id, text)``.
+    """
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, extract: Callable[[DataFrame], DataFrame]):
+        self.docs, self.nodes, self.extract, self.tables = docs, nodes, extract, []
+
+    def all(self) -> DataFrame:
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.unionAll(t)
+        return out
+
+    def read(self, ids: DataFrame) -> None:
+        if self.tables:
+            ids = ids.join(self.all().select("id"), "id", "left_anti")
+        wanted = materialize(ids.join(self.nodes.select("id", "place"), "id").groupBy("place").agg(F.collect_list("id").alias("ids")), "wanted")
+        if self.tables and wanted.isEmpty():
+            return
+        rows = self.docs.select(place().alias("place"), "text").join(small(wanted), "place").select("ids", "text")
+        with arrow_rows(self.docs.sparkSession, ARROW_ROWS):
+            self.tables.append(materialize(self.extract(rows).groupBy("id").agg(F.first("text").alias("text")), "contents"))
+        release(wanted)
+
+    def beside(self, pairs: DataFrame) -> DataFrame:
+        """``(a, b, text_a, text_b)`` of pairs whose contents were read."""
+        texts = self.all()
+        for c in ("a", "b"):
+            pairs = pairs.join(texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")), c)
+        return pairs.select("a", "b", "text_a", "text_b")
+
+
+def place():
+    return F.xxhash64("text_key", "doc_id")
+
+
+def signed(pairs: DataFrame, nodes: DataFrame, within: str, keep: Callable) -> DataFrame:
+    """The pairs that the sizes, by the condition ``within``, and signatures of their items let pass."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                size = np.concatenate([batch.column(c).to_numpy() for c in ("size_a", "size_b")])
+                mark = np.empty(2 * n, dtype=object)
+                mark[:] = batch.column("mark_a").to_pylist() + batch.column("mark_b").to_pylist()
+                yield batch.select(["a", "b"]).filter(pa.array(keep(size, mark, np.arange(n), np.arange(n, 2 * n))))
+
+    both = pairs.select("a", "b")
+    for c in ("a", "b"):
+        both = both.join(nodes.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("mark").alias(f"mark_{c}")), c)
+    return both.where(within).select("a", "b", "size_a", "size_b", "mark_a", "mark_b").mapInArrow(check, "a long, b long")
+
+
+def _dealt(now: DataFrame, mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of mixed keys, each row once for every tile that it is in."""
+    # Items of the largest component stand in parts of their own and meet only the rest.
+    is_top = F.col("comp") == F.col("top")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    part = F.when(F.col("one"), 0).when(is_top, F.col("p_rest") + deal("p_top")).otherwise(deal("p_rest"))
+    meets = F.when(F.col("one"), 0).when(is_top, F.col("p_rest") - 1).otherwise(F.col("p_rest") + F.col("p_top") - 1)
+    rest = [c for c in now.columns if c != "key"]
+    sides = now.join(small(mixed), "key").withColumn("part", part).withColumn("meets", meets).select("key", *rest, "part", "meets").join(nodes, "id")
+    each = sides.withColumn("other", F.explode(F.expr("sequence(0, meets)"))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    return each.drop("meets", "other").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _mixed(now: DataFrame) -> DataFrame:
+    """Keys whose members (key, id, comp) lie in several components, with the largest of these and how tiles part the key."""
+    each = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    each = each.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    tile = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    mixed = each.select("key", F.col("top.comp").alias("top"), F.col("top.n").alias("n_top"), (F.col("all") - F.col("top.n")).alias("n_rest"), (F.col("all") <= TILE).alias("one"))
+    return materialize(mixed.withColumn("p_top", tile("n_top")).withColumn("p_rest", tile("n_rest")), "mixed")
+
+
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    at = comps.select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    return materialize(members.join(at, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+
+
+def _of(frame: DataFrame, kind: int, *names: str) -> DataFrame:
+    return frame.where(F.col("kind") == kind).select(*(F.col(c).alias(n) for c, n in zip("xy", names)))
+
+
+def _first_components(rows: DataFrame, verify: Callable) -> tuple[DataFrame, DataFrame]:
+    """Components of the links among gathered pairs, and the members of large keys."""
+    links = materialize(verify(_of(rows, PAIRS, "a", "b").distinct(), None), "links")
+    reclaim(rows.sparkSession)
+    comps = materialize(connected_components(links), "components")
+    release(links)
+    members = rows.where(F.col("kind") == MEMBER).select(F.col("x").alias("key"), F.col("y").alias("id"), "tag").distinct()
+    return comps, materialize(members, "members")
+
+
+def settled_components(rows: DataFrame, nodes: DataFrame, verify: Callable, keep: Callable, contents: Contents, within: Callable) -> DataFrame:
+    """``(node, component)`` of every item that has a link, where contents are short.
+
+    As ``components``, but tiles only list their candidates, a pair in the tile of the least
+    key that it has in common; contents of the items concerned then go to the tiles, which
+    verify candidates by ``within(texts, texts)`` until their components are settled.
+    """
+    comps, members = _first_components(rows, verify)
+    now = _placed(members, comps)
+    mixed = _mixed(now)
+    keys = now.join(small(mixed.select("key")), "key", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    known = nodes.select("id", "size", "mark").join(keys, "id")
+    tiled = _dealt(now, mixed, known).withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    spark = rows.sparkSession
+    with arrow_rows(spark, ARROW_ROWS):
+        met = materialize(tiled.mapInArrow(_meetings(keep), MET), "met")
+    release(now, mixed)
+    reclaim(spark)
+    contents.read(met.where("idx >= 0").select("id").distinct())
+    beside = met.where("idx >= 0").join(contents.all(), "id").unionByName(met.where("idx < 0").withColumn("text", F.lit(None).cast("string")))
+    beside = beside.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "idx")
+    with arrow_rows(spark, ARROW_ROWS // 4):
+        links = materialize(_of(beside.mapInArrow(_settle(within), ROWS), PAIRS, "a", "b"), "links")
+    out = materialize(joined_components(comps, links), "components")
+    release(comps, members, met, links)
+    reclaim(spark)
+    return out
+
+
+def components(rows: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], keep: Callable) -> DataFrame:
     """``(node, component)`` of every item that has a link.
 
     rows: from ``keyed``.  nodes: one row for each item, ``(id, size, mark)``.  ``verify``
-    turns distinct pairs ``(a, b)`` into those that are linked.  ``keep(size, mark, a, b)``
-    says which index pairs of a tile can be linked at all.
+    turns distinct pairs ``(a, b)`` into those that are linked; it also gets the ids of
+    items that it will be asked about again.  ``keep(size, mark, a, b)`` says which index
+    pairs of a tile can be linked at all.
     """
     spark = rows.sparkSession
-    pairs = rows.where(f"kind = {STAR}").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    comps = materialize(connected_components(verify(pairs)), "components")
-    # A pair that shares a key of two items was a star pair: only larger keys can hide a link.
-    members = rows.where(f"kind = {MEMBER}").select(F.col("x").alias("key"), F.col("y").alias("id"), "side").distinct()
-    large = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    members = materialize(members.join(large, "key"), "members")
+    comps, members = _first_components(rows, verify)
     for turn in (*range(FORESTS), None):
-        now = members.join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        now = materialize(now, "placed")
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        tiled = (
-            now.join(mixed, "key")
-            .join(nodes.select("id", "size", "mark"), "id")
-            .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-            .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-            .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "comp", "side", "size", "mark")
-        )
-        tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        now = _placed(members, comps)
+        mixed = _mixed(now)
         with arrow_rows(spark, ARROW_ROWS):
-            given = materialize(tiled.mapInArrow(_tiles(keep, sided, turn), ROWS), "tiles")
-        release(now)
-        rest = given.where(f"kind = {STAR}").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+            given = materialize(_dealt(now, mixed, nodes.select("id", "size", "mark")).mapInArrow(_tiles(keep, turn), ROWS), "tiles")
+        release(now, mixed)
+        rest = _of(given, PAIRS, "a", "b").distinct()
         if rest.isEmpty():
+            release(given)
             break
+        more = materialize(verify(rest, _of(given, LATER, "id").distinct()), "links")
         # A key whose tiles gave no pair never will: components only grow.
-        members = materialize(members.join(given.where(f"kind = {KEY}").select(F.col("x").alias("key")).distinct(), "key", "left_semi"), "members")
-        more = verify(rest)
-        ends = comps.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        comps = materialize(connected_components(ends.unionAll(more.select("a", "b"))), "components")
+        old, members = members, materialize(members.join(small(_of(given, KEY, "key").distinct()), "key", "left_semi"), "members")
+        before, comps = comps, materialize(joined_components(comps, more), "components")
+        release(old, given, more, before)
+    release(members)
     return comps

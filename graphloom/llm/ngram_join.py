@@ -9,7 +9,9 @@ union.  The join is exact:
   cuts the range of hashes into parts, more than that many of which are not empty; linked
   sets then have an identical part among their first (a + b) / 9 + 1 in an order that all
   sets follow (fullest parts first, then by hash).  The content of a part is the key of a
-  tile, and a passage that very many documents share does not fill a part by itself.
+  tile, and a passage that very many documents share does not fill a part by itself.  A set
+  that leaves too many parts empty has its least shingles as keys besides: if both sets of
+  a linked pair are such, these have one in common.
 * *Bitmaps.*  A set's signature has the parity of the number of its shingles that fall on
   each bit.  Bits that differ count shingles that differ, so the number of set bits in the
   exclusive or bounds the overlap from above.
@@ -29,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import _linkage, _tokens
-from graphloom.plans.shared import arrow_rows, materialize
+from graphloom.plans.shared import arrow_rows, materialize, reclaim, release, tracked
 
 WIDTH = 5
 PERCENT = 80
-#: Texts whose copy to every executor is proven small: keys of eight bytes each.
-BROADCAST_KEYS = 1 << 20
+#: Ratio of the levels of sizes; 1.25 is less than two of them.
+RATIO = 1.12
+#: Keys of so many sets give all their pairs at once; whole texts are dear to verify.
+PAIRED = 3
 
 
 def _edges(limit: int = 1 << 40) -> np.ndarray:
@@ -77,10 +81,13 @@ def tile_keys(items: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             keys = _tokens.mix(keys + part[begin] * np.uint64(0xA24BAED4963EE407))
             # Fullest first: the order is part of the key.
             keys = (np.uint64(63) - np.minimum(count, 63).astype(np.uint64) << np.uint64(58)) | (keys >> np.uint64(6))
+            if len(keys) <= apart:
+                out.append(np.partition(_tokens.mix(items + salt * np.uint64(3)), min(apart, n - 1))[: apart + 1])
         if len(keys) > apart + 1:
             keys = np.partition(keys, apart)[: apart + 1]
         out.append(keys)
-    return np.concatenate(out)
+    # Spread over all buckets again.
+    return _tokens.mix(np.concatenate(out))
 
 
 def bitmap(items: np.ndarray) -> bytes:
@@ -121,50 +128,39 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def shingle_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, text_key, id, size, mark)``: the set of each row of ``docs``, null texts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, marks = [], [], []
-            for s in _tokens.shingle_sets(_texts(batch), width):
-                ids.append(_tokens.set_id(s))
-                sizes.append(len(s))
-                marks.append(bitmap(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())],
-                ["doc_id", "text_key", "id", "size", "mark"],
-            )
-
-    given = docs.select(F.col("doc_id").cast("long"), _text_key(), "text")
-    return given.mapInArrow(run, "doc_id long, text_key long, id long, size long, mark binary")
-
-
 def _text_key():
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, text_key, n_shingles, class)``: the class of linked sets of each row, null without words."""
-    docs = docs.select("doc_id", "text")
-    with arrow_rows(docs.sparkSession, _linkage.ARROW_ROWS):
-        table = materialize(shingle_table(docs, width), "shingles")
-    nodes = table.where("size > 0").groupBy("id").agg(F.first("size").alias("size"), F.first("mark").alias("mark"), F.min("text_key").alias("text_key"))
-    nodes = materialize(nodes, "sets")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key(), "text")
 
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator:
         for batch in batches:
+            ids, sizes, marks, seen, none = [], [], [], set(), pa.nulls(batch.num_rows, pa.int32())
             for s in _tokens.shingle_sets(_texts(batch), width):
-                keys = tile_keys(s, percent)
-                out = np.zeros(len(keys), dtype=_linkage.ENTRY)
-                out["key"], out["id"] = keys, _tokens.set_id(s)
-                yield out
-
-    rows = _linkage.keyed(docs.select("text"), keys_of)
+                ids.append(_tokens.set_id(s))
+                sizes.append(len(s))
+                marks.append(bitmap(s) if len(s) and ids[-1] not in seen else None)
+                if marks[-1]:
+                    seen.add(ids[-1])
+                    keys = tile_keys(s, percent)
+                    yield _linkage.entries(keys, np.full(len(keys), ids[-1]), np.full(len(keys), _linkage.levels(np.array([len(s)]), RATIO, 1)[0]))
+            columns = [pa.array(ids, pa.int64()), batch.column("doc_id"), batch.column("text_key"), none, pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_linkage.NODES)
+
+    rows = _linkage.keyed(docs, keys_of, paired=PAIRED)
+    table = rows.where(F.col("kind") == _linkage.NODE).select(F.col("x").alias("id"), "doc_id", "text_key", "size", "mark")
+    nodes = table.where("mark is not null").groupBy("id").agg(F.first("size").alias("size"), F.first("mark").alias("mark"), F.min(_linkage.place()).alias("place"))
+    nodes = materialize(nodes, "sets")
     keep = _may_link(percent)
-    comps = _linkage.components(rows, nodes, lambda pairs: _linked(pairs, nodes, docs, keep, width, percent), keep)
+    contents = _linkage.Contents(docs, nodes, lambda rows: rows.select(F.explode("ids").alias("id"), "text"))
+    within = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+    comps = _linkage.components(rows, nodes, lambda pairs, later: _linked(_linkage.signed(pairs, nodes, within, keep), contents, later, width, percent), keep)
+    release(nodes, *contents.tables)
     light = table.select("doc_id", "text_key", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("id")).alias("id"))
-    return light.join(comps, light.id == comps.node, "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "id").alias("class"))
+    return light.join(_linkage.small(comps), light.id == comps.node, "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "id").alias("class"))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -176,60 +172,44 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     doc_id is never the smallest unless its class has no other; an isolated row's
     component is its own doc_id.  Other columns of ``docs`` are not read.
     """
-    classes = materialize(jaccard_classes(docs, width, percent), "classes")
-    least = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = classes.join(least, "class", "left")
-    return named.select("doc_id", "n_shingles", F.when(F.col("class").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    classes = jaccard_classes(docs, width, percent)
+    least = materialize(classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
+    named = classes.join(_linkage.small(least.select("class", "least")), "class", "left")
+    # A class of one row is its own.
+    return named.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, the one of the smallest doc_id, null last.
 
-    Rows without words all stay.
+    Rows without words all stay.  Rows are packed while names are added, so columns may have
+    any name.
     """
-    classes = materialize(jaccard_classes(docs, width, percent).where("class is not null"), "classes")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    first = classes.groupBy("class").agg(F.min(place).alias("first"))
-    rest = classes.join(first, "class").where(place != F.col("first")).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    rest = materialize(rest, "copies")
-    if rest.count() <= BROADCAST_KEYS:
-        rest = F.broadcast(rest)
-    out = docs.withColumn("_text_key", _text_key())
-    out = out.join(rest, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
-    repeated = classes.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    with tracked() as made:
+        classes = jaccard_classes(docs, width, percent).where("class is not null")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+        shared = materialize(classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "shared")
+        classes = classes.join(_linkage.small(shared), "class")
+        first = materialize(classes.groupBy("class").agg(F.min(place).alias("first")), "first")
+        rest = materialize(classes.join(_linkage.small(first), "class").where(place != F.col("first")).select("doc_id", "text_key").distinct(), "copies")
+        repeated = materialize(classes.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key"), "repeated")
+    release(*(t for t in made if t is not rest and t is not repeated))
+    reclaim(docs.sparkSession)
+    given = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), _text_key())
+    out = given.join(_linkage.small(rest), (given["text_key"] == rest["text_key"]) & given["doc_id"].eqNullSafe(rest["doc_id"]), "left_anti")
+    # Of repeated rows, equal in doc_id and text, all are left: one of them stays.
     if not repeated.isEmpty():
-        wordless = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-        out = out.where(wordless).unionByName(out.where(~wordless).dropDuplicates(["doc_id", "_text_key"]))
-    return out.select(*docs.columns)
-
+        again = _linkage.small(repeated)
+        both = (out["text_key"] == repeated["text_key"]) & out["doc_id"].eqNullSafe(repeated["doc_id"])
+        out = out.join(again, both, "left_anti").unionByName(out.join(again, both, "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, keep, width: int, percent: int) -> DataFrame:
-    """The pairs that are linked: first by size and bitmap, then by their whole texts."""
-    spark = docs.sparkSession
 
-    def side(c: str) -> DataFrame:
-        return nodes.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("mark").alias(f"mark_{c}"), F.col("text_key").alias(f"key_{c}"))
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            size = np.concatenate([batch.column(c).to_numpy() for c in ("size_a", "size_b")]) if n else np.empty(0, dtype=np.int64)
-            mark = np.empty(2 * n, dtype=object)
-            mark[:] = batch.column("mark_a").to_pylist() + batch.column("mark_b").to_pylist()
-            ok = keep(size, mark, np.arange(n), np.arange(n, 2 * n)) if n else np.empty(0, dtype=bool)
-            yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(ok))
-
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-    left = materialize(
-        sized.select("a", "b", "key_a", "key_b", "size_a", "size_b", "mark_a", "mark_b").mapInArrow(bounded, "a long, b long, key_a long, key_b long"),
-        "survivors",
-    )
-    wanted = left.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()
-    wanted = materialize(wanted, "wanted")
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(_text_key(), "text").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "texts")
+def _linked(pairs: DataFrame, contents: _linkage.Contents, later: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """The pairs whose whole texts are linked."""
+    left = materialize(pairs, "survivors")
+    ids = left.select(F.explode(F.array("a", "b")).alias("id"))
+    contents.read((ids if later is None else ids.unionAll(later)).distinct())
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, np.ndarray] = (-1, np.empty(0, dtype=np.uint64))
@@ -244,11 +224,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, keep, width: in
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    whole = (
-        left.join(texts.select(F.col("text_key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
-        .join(texts.select(F.col("text_key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
-        .select("a", "b", "text_a", "text_b")
-    )
     # Two whole texts a row.
-    with arrow_rows(spark, _linkage.ARROW_ROWS // 4):
-        return materialize(whole.mapInArrow(exact, "a long, b long"), "linked")
+    with arrow_rows(left.sparkSession, _linkage.ARROW_ROWS // 4):
+        linked = materialize(contents.beside(left).mapInArrow(exact, "a long, b long"), "linked")
+    release(left)
+    return linked
