@@ -301,9 +301,9 @@ def keyed(frame: DataFrame, keys_of: Callable, paired: int = PAIRED) -> DataFram
             yield out(_block(np.concatenate(held), n))
 
     with arrow_rows(spark, ARROW_ROWS):
-        packed = frame.mapInArrow(run, PACKED).repartition("bucket").sortWithinPartitions("bucket")
+        packed = frame.mapInArrow(_tokens.tidy(run), PACKED).repartition("bucket").sortWithinPartitions("bucket")
     with arrow_rows(spark, ARROW_ROWS // 8):
-        rows = materialize(packed.mapInArrow(_gather(paired), ROWS), "keyed")
+        rows = materialize(packed.mapInArrow(_tokens.tidy(_gather(paired)), ROWS), "keyed")
     del packed
     reclaim(spark)
     return rows
@@ -535,7 +535,7 @@ def signed(pairs: DataFrame, nodes: DataFrame, within: str, keep: Callable) -> D
     both = pairs.select("a", "b")
     for c in ("a", "b"):
         both = both.join(nodes.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("mark").alias(f"mark_{c}")), c)
-    return both.where(within).select("a", "b", "size_a", "size_b", "mark_a", "mark_b").mapInArrow(check, "a long, b long")
+    return both.where(within).select("a", "b", "size_a", "size_b", "mark_a", "mark_b").mapInArrow(_tokens.tidy(check), "a long, b long")
 
 
 def _dealt(now: DataFrame, mixed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -594,14 +594,14 @@ def settled_components(rows: DataFrame, nodes: DataFrame, verify: Callable, keep
     tiled = _dealt(now, mixed, known).withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
     spark = rows.sparkSession
     with arrow_rows(spark, ARROW_ROWS):
-        met = materialize(tiled.mapInArrow(_meetings(keep), MET), "met")
+        met = materialize(tiled.mapInArrow(_tokens.tidy(_meetings(keep)), MET), "met")
     release(now, mixed)
     reclaim(spark)
     contents.read(met.where("idx >= 0").select("id").distinct())
     beside = met.where("idx >= 0").join(contents.all(), "id").unionByName(met.where("idx < 0").withColumn("text", F.lit(None).cast("string")))
     beside = beside.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "idx")
     with arrow_rows(spark, ARROW_ROWS // 4):
-        links = materialize(_of(beside.mapInArrow(_settle(within), ROWS), PAIRS, "a", "b"), "links")
+        links = materialize(_of(beside.mapInArrow(_tokens.tidy(_settle(within)), ROWS), PAIRS, "a", "b"), "links")
     out = materialize(joined_components(comps, links), "components")
     release(comps, members, met, links)
     reclaim(spark)
@@ -622,7 +622,7 @@ def components(rows: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame, D
         now = _placed(members, comps)
         mixed = _mixed(now)
         with arrow_rows(spark, ARROW_ROWS):
-            given = materialize(_dealt(now, mixed, nodes.select("id", "size", "mark")).mapInArrow(_tiles(keep, turn), ROWS), "tiles")
+            given = materialize(_dealt(now, mixed, nodes.select("id", "size", "mark")).mapInArrow(_tokens.tidy(_tiles(keep, turn)), ROWS), "tiles")
         release(now, mixed)
         rest = _of(given, PAIRS, "a", "b").distinct()
         if rest.isEmpty():

@@ -226,6 +226,6 @@ def _linked(pairs: DataFrame, contents: _linkage.Contents, later: DataFrame | No
 
     # Two whole texts a row.
     with arrow_rows(left.sparkSession, _linkage.ARROW_ROWS // 4):
-        linked = materialize(contents.beside(left).mapInArrow(exact, "a long, b long"), "linked")
+        linked = materialize(contents.beside(left).mapInArrow(_tokens.tidy(exact), "a long, b long"), "linked")
     release(left)
     return linked

@@ -174,6 +174,13 @@ def _insult_marks() -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
+    """As ``_learned``, after which the driver hands the memory of the sample back."""
+    model = _learned(docs, labels, rows)
+    _tokens.give_back()
+    return model
+
+
+def _learned(docs: DataFrame, labels: DataFrame, rows: int) -> Classifier:
     """Fit on at most ``rows`` labelled rows that are not held out; without any, the insults alone score."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -192,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
                 pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.int32()), ("shouts", pa.int32()), ("marks", pa.binary())]),
             )
 
-    got = given.mapInArrow(shape, "doc_id long, toxic int, words int, shouts int, marks binary").toArrow()
+    got = given.mapInArrow(_tokens.tidy(shape), "doc_id long, toxic int, words int, shouts int, marks binary").toArrow()
     order = np.lexsort((got["words"].to_numpy(), got["doc_id"].to_numpy())) if got.num_rows else np.empty(0, dtype=int)
     y = got["toxic"].to_numpy()[order] if got.num_rows else np.empty(0)
     if not len(y) or y.min() == y.max():
@@ -282,7 +289,7 @@ def score(docs: DataFrame, model: Classifier, name: str = "score") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(_texts(batch)))], [*names, name])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(_tokens.tidy(run), schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
