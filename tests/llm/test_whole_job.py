@@ -87,3 +87,17 @@ def test_visible_text_of_pages_stays():
         ('x<img alt="" tall">y<b id="z">w</b>', "xyw"),
     ]:
         assert html_text._Page(source).run() == want
+
+
+def test_lines_of_large_keys_meet(spark):
+    r = random.Random(11)
+    tail = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for _ in range(4):  # lines of a length have the key of their prefix, and probe the one of shorter lines
+        prefix = tail(15)
+        for _ in range(60):
+            rest = tail(15)
+            rows += [prefix + x for x in (rest, rest[:9] + "#" + rest[10:], tail(14), tail(15))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(x["doc_id"], x["keep_doc_id"]) for x in line_dedup.line_classes(df).collect()}
+    assert got == {(i, i - 1) for i in range(1, len(rows), 4)}
