@@ -101,3 +101,25 @@ def test_lines_of_large_keys_meet(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {(x["doc_id"], x["keep_doc_id"]) for x in line_dedup.line_classes(df).collect()}
     assert got == {(i, i - 1) for i in range(1, len(rows), 4)}
+
+
+def test_linked_long_lines_share_a_key():
+    r = random.Random(12)
+    lines = []
+    for k in range(1500):  # edits as evenly spread as can be, in lines that repeat themselves, too
+        n = r.choice([80, 99, 100, 119, 120, 200, 299, 300, 500])
+        s = ("".join(r.choice("abcdefgh ") for _ in range(7 if k % 10 == 0 else n)) * n)[: n - 2]
+        s = "." + s + "."
+        t, most = list(s), n // 20
+        for j in range(most):
+            i = (2 * j + 1) * n // (2 * most)
+            t[i] = "#" if k % 3 else "#" + t[i]
+        lines += [s, "".join(t)]
+    found = line_dedup.Lines(lines)
+    entries = np.concatenate(list(line_dedup.window_keys(found, np.arange(len(lines)))))
+    keys = [set() for _ in lines]
+    at = {x: i for i, x in enumerate(found.id.tolist())}
+    for key, id_ in zip(entries["key"].tolist(), entries["id"].tolist()):
+        keys[at[id_]].add(key)
+    assert all(keys[i] & keys[i + 1] for i in range(0, len(lines), 2))
+    assert max(map(len, keys)) < 100
