@@ -123,3 +123,17 @@ def test_linked_long_lines_share_a_key():
         keys[at[id_]].add(key)
     assert all(keys[i] & keys[i + 1] for i in range(0, len(lines), 2))
     assert max(map(len, keys)) < 100
+
+
+def test_places_of_keys_part_lines_and_survive_packing():
+    from graphloom.llm import _linkage
+
+    n = 1000
+    key, level, place = np.arange(n, dtype=np.uint64) << np.uint64(54), np.full(n, 60, dtype=np.uint8), np.arange(n) % 70
+    e = _linkage.entries(key, np.arange(n), level, place=place)
+    got = _linkage._unpacked([p for _, _, p in _linkage._packed(_linkage.KEY, *(np.ascontiguousarray(e[c]) for c in ("key", "id", "tag")), 7)])
+    assert all((x == e[c][np.argsort(key)]).all() for x, c in zip(got, ("key", "id", "tag")))
+    near = _linkage._near(e["tag"], np.full(n, e["tag"][1]))
+    assert (near == ((place == 0) | (place - 1 <= _linkage.SHIFT[60]))).all() and not near.all()
+    # A line of this level allows no more edits than that.
+    assert line_dedup._levels(np.array([279]))[0] == 59 and 279 // 20 <= _linkage.SHIFT[59]
