@@ -9,6 +9,7 @@ it; two are compared by the Jaccard index of their sets of anchors.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,16 +109,19 @@ def _buckets(rows: DataFrame) -> Column:
     parts = -(-wanted // max(1, len(bounds)))
     wide = max([len(x) + 1 for x in steps.values()], default=1)
     prefix = _prefix(F.col("text"))
-    inner = lambda at: F.size(F.filter(F.array(*map(F.lit, steps[at])), lambda p: p <= prefix)).cast("bigint") if steps.get(at) else F.lit(0).cast("bigint")
+    numbers = lambda of: F.lit(np.array(of, dtype=np.int64))
+    inner = lambda at: F.size(F.filter(numbers(steps[at]), lambda p: p <= prefix)).cast("bigint") if steps.get(at) else F.lit(0).cast("bigint")
     bucket = None
-    for i in reversed(range(len(bounds))):
-        start, end = bounds[i], bounds[i + 1] if i + 1 < len(bounds) else high + 1
-        within = F.floor((F.col("at") - F.lit(start)) / F.lit(max(1, -(-(end - start) // parts)))).cast("bigint")
-        within = F.least(within, F.lit(parts - 1)) + wide
-        if start in steps:
-            within = F.when(F.col("at") == F.lit(start), inner(start)).otherwise(within)
-        within = within + i * (parts + wide)
-        bucket = within if bucket is None else F.when(F.col("at") < F.lit(bounds[i + 1]), within).otherwise(bucket)
+    if bounds:
+        # Bounds are looked up in one array: a case for each would be copied with every plan that names the bucket.
+        per = [max(1, -(-(end - start) // parts)) for start, end in zip(bounds, [*bounds[1:], high + 1])]
+        i = F.size(F.filter(numbers(bounds), lambda b: b <= F.col("at"))) - 1
+        of = lambda i: F.least(F.floor((F.col("at") - F.get(numbers(bounds), i)) / F.get(numbers(per), i)).cast("bigint"), F.lit(parts - 1)) + wide
+        within = let(i, lambda i: F.struct(i.alias("i"), of(i).alias("part")))
+        part = lambda w: w["part"]
+        for start in reversed([x for x in bounds if x in steps]):
+            part = lambda w, start=start, rest=part: F.when(F.col("at") == F.lit(start), inner(start)).otherwise(rest(w))
+        bucket = let(within, lambda w: part(w) + w["i"].cast("bigint") * (parts + wide))
     none = inner(None) + len(bounds) * (parts + wide)
     return none if bucket is None else F.when(F.col("at").isNull(), none).otherwise(bucket)
 

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from graphloom.llm import _linkage, line_dedup
+from graphloom.llm import _linkage, line_dedup, syncmers
 from graphloom.plans.shared import materialize, relieve
 
 
@@ -56,3 +56,13 @@ def test_near_copies_and_strangers_of_one_key_are_told_apart(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {(x["doc_id"], x["keep_doc_id"]) for x in line_dedup.line_classes(df).collect()}
     assert got == {(i, i // 20 * 20) for i in range(120) if i % 20}
+
+
+def test_buckets_of_neighbours_are_a_short_expression_in_the_order_of_ids(spark):
+    r = random.Random(9)
+    ids = sorted(r.sample(range(-(10**6), 10**6), 2000))
+    rows = spark.createDataFrame([(i, "t") for i in ids], "at long, text string")
+    out = rows.select("at", syncmers._buckets(rows).alias("bucket"))
+    got = [x["bucket"] for x in out.orderBy("at").collect()]
+    assert got == sorted(got) and len(set(got)) > 16
+    assert len(out._jdf.queryExecution().analyzed().toString()) < 10_000
