@@ -33,6 +33,7 @@ INSULTS = (
     "bastard clown coward creep degenerate disgusting dumb fool garbage hate hateful idiot idiotic imbecile jerk kill loser lowlife moron moronic "
     "parasite pathetic pig scum scumbag shut stupid trash ugly useless vermin vile worthless"
 ).split()
+_MODEL = pa.schema([("marks", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())])
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
@@ -174,41 +175,36 @@ def _insult_marks() -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
-    """As ``_learned``, after which the driver hands the memory of the sample back."""
-    model = _learned(docs, labels, rows)
-    _tokens.give_back()
-    return model
-
-
-def _learned(docs: DataFrame, labels: DataFrame, rows: int) -> Classifier:
-    """Fit on at most ``rows`` labelled rows that are not held out; without any, the insults alone score."""
+    """Fit on at most ``rows`` labelled rows that are not held out, in one task; without any, the insults alone score."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     given = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     # A doc_id may have many rows.
     given = given.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
 
-    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
         for batch in batches:
-            out = []
             for t, y, i in zip(_texts(batch), batch.column("toxic").to_pylist(), batch.column("doc_id").to_pylist()):
                 _, mark, words = _features([t])
-                out.append((i, y, int(words[0]), _shouts(t), np.unique(mark)[:ROW_FEATURES].tobytes()))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("doc_id", "toxic", "words", "shouts", "marks"), o)) for o in out],
-                pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.int32()), ("shouts", pa.int32()), ("marks", pa.binary())]),
-            )
-
-    got = given.mapInArrow(_tokens.tidy(shape), "doc_id long, toxic int, words int, shouts int, marks binary").toArrow()
-    order = np.lexsort((got["words"].to_numpy(), got["doc_id"].to_numpy())) if got.num_rows else np.empty(0, dtype=int)
-    y = got["toxic"].to_numpy()[order] if got.num_rows else np.empty(0)
+                out.append((i, y, int(words[0]), _shouts(t), np.unique(mark)[:ROW_FEATURES].copy()))
+        model = _fitted(out)
+        yield pa.RecordBatch.from_pylist([{"marks": model.marks.astype(np.int64), "weights": model.weights.astype(float), "bias": model.bias}], _MODEL)
+
+    # The sample and its many arrays stay with a worker; the driver gets a row for the model.
+    got = given.coalesce(1).mapInArrow(_tokens.tidy(fit), "marks array<long>, weights array<double>, bias double").toArrow().to_pylist()
+    return Classifier(np.array(got[0]["marks"], dtype=np.uint32), np.array(got[0]["weights"]), got[0]["bias"]) if got else _fitted([])
+
+
+def _fitted(sample: list[tuple]) -> Classifier:
+    """The classifier for rows of doc_id, label, number of words, shouts and features; empties the list."""
+    sample.sort(key=lambda x: (x[0], x[2]))
+    y, words, shouts = (np.array([x[k] for x in sample], dtype=np.int64) for k in (1, 2, 3))
     if not len(y) or y.min() == y.max():
         marks = _insult_marks()
         return Classifier(marks, np.full(len(marks), 2.0), -1.0)
-    words, shouts = got["words"].to_numpy()[order], got["shouts"].to_numpy()[order]
-    sets = got["marks"].combine_chunks()
-    del got
-    sets = [np.frombuffer(sets[int(i)].as_buffer(), dtype=np.uint32) for i in order]
+    sets = [x[4] for x in sample]
+    sample.clear()
     names = np.concatenate(sets)
     names.sort()
     # Features of three rows or more; a row has each once.
