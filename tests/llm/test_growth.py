@@ -85,3 +85,56 @@ def test_the_driver_does_not_fit_the_classifier(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "you idiot scum" if i % 2 else "a quiet day") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     assert len(toxicity.learn(docs, labels).marks)
+
+
+def test_pairs_that_places_and_ends_part_are_no_candidates():
+    """Linked lines have a window at near places, counted from both ends together."""
+    length = np.array([408, 409, 425])
+    level = line_dedup._levels(length)
+    e = _linkage.entries(np.zeros(3, dtype=np.uint64), np.arange(3), level, place=np.array([1, 1, 20]), follows=length - 12 - np.array([0, 0, 19]))
+    assert _linkage._near(e["tag"], e["tag"][[1, 2, 0]]).tolist() == [True, True, True]
+    far = _linkage.entries(np.zeros(2, dtype=np.uint64), np.arange(2), level[:2], place=np.array([1, 16]), follows=np.array([396, 360]))
+    assert not _linkage._near(far["tag"][:1], far["tag"][1:]).any()  # 15 before and 36 after are more than the edits allowed
+
+
+def test_items_meet_only_by_keys_at_near_places():
+    r = np.random.default_rng(5)
+    for some in (0.0, 0.3):
+        n, level = 40, np.full(40, 60)
+        level[::3] = 61
+        keys = [np.sort(r.choice(60, 8, replace=False)) for _ in range(n)]
+        place = [r.integers(0, 60, 8) for _ in range(n)]
+        probe = [r.random(8) < some for _ in range(n)]
+        before, probed = np.empty(n, dtype=object), np.empty(n, dtype=object)
+        before[:] = [(k << 16 | p) for k, p in zip(keys, place)]
+        probed[:] = [x[y] for x, y in zip(before, probe)]
+        a, b = np.triu_indices(n, 1)
+        got = _linkage._first_met(before, a, b, probed, level)
+
+        def met(i, j):
+            reach = _linkage.SHIFT[max(level[i], level[j])]
+            return any(k == m and not (s and t) and (p == 0 or q == 0 or abs(p - q) <= reach) for k, p, s in zip(keys[i], place[i], probe[i]) for m, q, t in zip(keys[j], place[j], probe[j]))
+
+        want = [not met(i, j) for i, j in zip(a, b)]
+        assert got.tolist() == want and any(want) and not all(want)
+
+
+def test_a_large_key_is_parted_and_near_items_keep_a_part_in_common(spark):
+    r = np.random.default_rng(9)
+    n = 4 * _linkage.TILE
+    level, key = r.integers(20, 80, n), int(_linkage.HALF) | 1 << 40
+    length = (20 * 1.045 ** (level + 0.5)).astype(int)
+    place = np.where(np.arange(n) % 50 == 0, 0, 1 + (r.random(n) * (length - 12)).astype(int))
+    tag = level * 2 + 256 * place
+    rows = [(key, i, int(t)) for i, t in enumerate(tag)] + [(1 << 30, i, int(t)) for i, t in enumerate(tag[:20])]
+    got = _linkage._parted(spark.createDataFrame(rows, "key long, id long, tag int")).collect()
+    of, size = {}, {}
+    for x in got:
+        if x["key"] != 1 << 30:
+            of.setdefault(x["id"], set()).add(x["key"])
+            size[x["key"]] = size.get(x["key"], 0) + 1
+    assert max(size.values()) < _linkage.TILE and sum(x["key"] == 1 << 30 for x in got) == 20
+    a, b = np.triu_indices(n, 1)
+    near = _linkage._near(tag[a], tag[b])
+    assert near.sum() > 1000 and all(of[i] & of[j] for i, j in zip(a[near].tolist(), b[near].tolist()))
+    assert all(k & 0xFFFF == 0 for k in size)
