@@ -228,11 +228,13 @@ def file_imports(documents: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def references(entities: DataFrame, imported: DataFrame) -> DataFrame:
+def references(entities: DataFrame, imported: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Mentions linked to declarations elsewhere: one in an imported document, else the only one.
 
-    imported: ``(doc_path, target)``.  A dotted declaration has two rows in the index, and
-    uniqueness counts rows.
+    imported: ``(doc_path, target)``, or with ``groups``, which has ``(target, at)``, documents
+    that import all those of a group.  Those are never listed by importing document: each
+    group gives its two least declarations of a name.  A dotted declaration has two rows in
+    the index, and uniqueness counts rows.
     """
     declared = entities.where(F.col("type").isin(*REFERENCE_TARGETS))
     bare = F.element_at(F.split("name", r"\."), -1)
@@ -249,8 +251,18 @@ def references(entities: DataFrame, imported: DataFrame) -> DataFrame:
     seen = asked.join(by_name, "name").join(mine, ["name", "doc_path"], "left").withColumn("elsewhere", F.col("all") - F.coalesce("n_own", F.lit(0)))
     only = F.when(F.col("first.at") == F.col("doc_path"), F.col("second")).otherwise(F.col("first"))
     seen = seen.select("doc_path", "ordinal", "entity_id", "name", F.when(F.col("elsewhere") == 1, only["least"]["target_id"]).alias("only_id"))
-    known = imported.select("doc_path", F.col("target").alias("at")).distinct().where("doc_path <> at")
-    near = asked.join(known, "doc_path").join(by_doc, ["name", "at"]).groupBy("doc_path", "ordinal", "entity_id").agg(F.min(place).alias("near"))
+    known = imported.select("doc_path", "target").distinct()
+    if groups is None:
+        hits = asked.join(known.withColumnRenamed("target", "at").where("doc_path <> at"), "doc_path").join(by_doc, ["name", "at"]).withColumn("place", place)
+    else:
+        held = groups.select("target", "at").distinct().join(by_doc, "at").select("target", "name", "at", place.alias("place"))
+        first = held.groupBy("target", "name").agg(F.min("place").alias("first"))
+        second = held.join(first, ["target", "name"]).where("at <> first.at").groupBy("target", "name").agg(F.min("place").alias("second"))
+        least = first.join(second, ["target", "name"], "left")
+        # A document that is in a group it imports does not import itself.
+        other = F.when(F.col("first.at") == F.col("doc_path"), F.col("second")).otherwise(F.col("first"))
+        hits = asked.join(known, "doc_path").join(least, ["target", "name"]).withColumn("place", other)
+    near = hits.groupBy("doc_path", "ordinal", "entity_id").agg(F.min("place").alias("near"))
     picked = seen.join(near, ["doc_path", "ordinal", "entity_id"], "left")
     target = F.coalesce(F.col("near")["least"]["target_id"], F.col("only_id"))
     return picked.where(target.isNotNull()).select(*_link(F.col("entity_id"), target, "references", 0.6, INFERRED, rule="global_reference_resolution"))
